@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import cross_split, format_copies, group_splits, shared_spans, similar_vectors, top_n
+from . import cross_split, format_copies, group_splits, shared_spans, similar_vectors, source_mix, target_sample, tokens, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+
+def _sampler(spark: SparkSession, sf_dir: str) -> target_sample.TargetSample:
+    return target_sample.TargetSample(table(spark, sf_dir, "build_splits"), table(spark, sf_dir, "category_targets"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: group_splits.leaking_rows(table(s, d, "build_splits"), table(s, d, "videos")),
     "p1_splits": lambda s, d: group_splits.assign_splits(table(s, d, "build_splits"), table(s, d, "videos")),
@@ -22,6 +28,14 @@ QUERIES: dict[str, Query] = {
     "p4_nearest": lambda s, d: similar_vectors.nearest(similar_vectors.window_vectors(table(s, d, "base"))),
     "p5_found": lambda s, d: cross_split.overlapping_pairs(table(s, d, "build_splits")),
     "p5_report": lambda s, d: cross_split.overlap_report(table(s, d, "build_splits")),
+    "p7_found": lambda s, d: _sampler(s, d).report().where("not met").select("category_id"),
+    "p7_report": lambda s, d: _sampler(s, d).report(),
+    "p7_sample": lambda s, d: _sampler(s, d).draw()[0],
+    "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
+    "p8_decoded": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"))),
+    "p9_found": lambda s, d: source_mix.starved_sources(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p9_mix": lambda s, d: source_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
+    "p9_report": lambda s, d: source_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
     "p10_found": lambda s, d: shared_spans.sharing_documents(table(s, d, "documents")),
     "p10_shared": lambda s, d: shared_spans.shared_parts(table(s, d, "documents")),
 }
@@ -47,6 +61,15 @@ SQL: dict[str, str] = {
         with w as (select video_id, window_id, max(stage1_score) as stage1_score from base
                    where video_id is not null and window_id is not null and stage1_score is not null and not isnan(stage1_score) group by 1, 2)
         select * from (select *, cast(row_number() over (partition by video_id order by stage1_score desc, window_id) as integer) as rank from w) where rank <= 3""",
+    "p7_found": f"""
+        with t as (select *, lower(trim(category_name)) as nm from category_targets),
+        r as (select {_CLIP.format(c='video_id')} as clip, lower(trim(category, chr(160)||chr(9)||chr(10)||chr(13)||' ')) as c from build_splits where category is not null),
+        n as (select clip, coalesce(a.category_id, b.category_id) as category_id from r
+              left join t a on r.c = a.nm left join t b on regexp_full_match(r.c, '[0-9]{{1,9}}([.]0*)?') and b.category_id = try_cast(regexp_extract(r.c, '^[0-9]+') as integer)),
+        k as (select clip, min(category_id) as category_id from n where category_id is not null and clip is not null group by 1),
+        s as (select floor(count(*) / 2.0) as s from k)
+        select t.category_id from t, s where (select count(*) from k where k.category_id = t.category_id) < greatest(ceil(t.target_share * s.s), t.min_videos)""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p10_found": """
         with w as (select doc_id, unnest(range(1, length(text) - 158)) as p, text from documents where length(text) >= 160),
         h as (select doc_id, md5(substring(text, p, 160)) as m from w),

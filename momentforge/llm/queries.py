@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import cross_split, format_copies, group_splits, shared_spans, similar_vectors, source_mix, target_sample, tokens, top_n
+from . import broken_pairs, cross_split, format_copies, group_splits, shared_spans, similar_vectors, source_mix, target_sample, tokens, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "p4_nearest": lambda s, d: similar_vectors.nearest(similar_vectors.window_vectors(table(s, d, "base"))),
     "p5_found": lambda s, d: cross_split.overlapping_pairs(table(s, d, "build_splits")),
     "p5_report": lambda s, d: cross_split.overlap_report(table(s, d, "build_splits")),
+    "p6_found": lambda s, d: broken_pairs.broken_pairs(table(s, d, "val_outputs_all")),
     "p7_found": lambda s, d: _sampler(s, d).report().where("not met").select("category_id"),
     "p7_report": lambda s, d: _sampler(s, d).report(),
     "p7_sample": lambda s, d: _sampler(s, d).draw()[0],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut, shared_dir
 
 #: A passage of SPAN characters has SPAN - GRAM + 1 grams, one winnowing window, hence one anchor at least.
-SPAN, GRAM = 160, 48
+SPAN, GRAM = 160, 64
 _CHUNK = 400_000
 _B = 0x9E3779B97F4A7C15
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,6 +150,31 @@ def _windows(texts_with_places: DataFrame, span: int, gram: int, every: bool) ->
     return texts_with_places.select("text_id", "text", "places").mapInArrow(run, "w bigint, text_id bigint, pos int")
 
 
+def _contexts(texts_with_places: DataFrame, span: int, gram: int) -> DataFrame:
+    """(w, text_id, pos): hashes of the text that ends, and of the text that begins, with each place's anchor
+    and reaches half of the rest of a span beyond it. A shared span around an anchor holds one of the two."""
+    wide = gram + -(-(span - gram) // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunks(batches):
+            r = Rolling(part.column("text").to_pylist())
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i, places in enumerate(part.column("places").to_pylist()):
+                w = r.windows(wide, i)
+                p = np.asarray(places, np.int64)
+                left, right = p[p + gram >= wide], p[p < len(w)]
+                with np.errstate(over="ignore"):
+                    h = np.concatenate([_mix(w[left + gram - wide] + np.uint64(1)), w[right]])
+                out.append((h, np.full(len(h), i), np.concatenate([left, right])))
+            if out:
+                w, of, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.view(np.int64)), part.column("text_id").take(pa.array(of)), pa.array(at.astype(np.int32))], names=["w", "text_id", "pos"]
+                )
+
+    return texts_with_places.select("text_id", "text", "places").mapInArrow(run, "w bigint, text_id bigint, pos int")
+
+
 class SpanIndex:
     """Sorted immutable runs of (h, text_id, pos) in the shared folder.
 
@@ -199,7 +224,7 @@ def _text_ids(docs: DataFrame, span: int) -> DataFrame:
 def _first_texts(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies, texts): the ids of texts that several documents have; one row of every different text."""
     slim = named.select("doc_id", "text_id")
-    copies = cut(slim.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("text_id", "first"))
+    copies = cut(slim.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("text_id", "first"))
     again = cut(slim.join(copies, "text_id").where("doc_id <> first").select("doc_id"))
     return copies, named.join(again, "doc_id", "left_anti").select("doc_id", "text_id", "text")
 
@@ -231,7 +256,8 @@ def sharing_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch
     Texts of ``span`` characters and more that several documents have count whole. Different texts
     meet through the index (fed in ``batches``), then through hashes of whole span-long windows: first
     the winnowed ones, which any run of 1.5 spans has in common; for the texts these leave open, and the
-    texts that share an anchor with them, all windows around that anchor. A window counts as equal when
+    texts that share an anchor with them, all windows around those anchors of which the text half a
+    span to the left or right is shared too. A window counts as equal when
     its own 64-bit hash and that of the anchor in it are. Null and shorter texts are never cases.
     """
     copies, texts, hits = _anchored(docs, span, gram, batches)
@@ -239,8 +265,11 @@ def sharing_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch
     some = cut(_windows(held, span, gram, every=False))
     sure = cut(some.join(_in_two(some), "w", "left_semi").select("text_id").distinct())
     doubt = hits.join(sure, "text_id", "left_anti").select("h").distinct()
-    open_places = hits.join(cut(doubt), "h", "left_semi").groupBy("text_id").agg(F.collect_list("pos").alias("places"))
-    rest = cut(_windows(held.drop("places").join(open_places, "text_id"), span, gram, every=True).select("w", "text_id"))
+    places = lambda d: d.groupBy("text_id").agg(F.collect_set("pos").alias("places"))
+    open_texts = cut(held.drop("places").join(places(hits.join(cut(doubt), "h", "left_semi")), "text_id"))
+    sides = cut(_contexts(open_texts, span, gram))
+    near = places(sides.join(_in_two(sides), "w", "left_semi"))
+    rest = cut(_windows(open_texts.drop("places").join(near, "text_id"), span, gram, every=True).select("w", "text_id"))
     more = rest.join(_in_two(rest), "w", "left_semi").select("text_id")
     found = cut(copies.select("text_id").union(sure).union(more).distinct())
     return docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.length("text").alias("n")).where(F.col("n") >= span).join(found, "text_id", "left_semi").select("doc_id")

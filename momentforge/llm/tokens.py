@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with a run of one class this long go to the O(n log n) merge, as the fold is quadratic in a word.
 LONG = 120
-_LONG_RUN = rf"(?U)\p{{L}}{{{LONG},}}|\p{{N}}{{{LONG},}}|[^\s\p{{L}}\p{{N}}]{{{LONG},}}|\s{{{LONG},}}"
+_LONG_RUN = "(?U)" + "|".join(rf"(?<!{c}){c}{{{LONG}}}" for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s"))
 #: At most so many words of so many bytes are held as a literal dictionary: a few MB whatever the corpus.
-KEPT_WORDS, KEPT_BYTES = 32_768, 48
+KEPT_WORDS, KEPT_BYTES = 16_384, 48
 _SHIFT = 1 << 16
 
 
@@ -71,15 +71,15 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(tuple(pieces), merges)
 
 
-def _placed(keys: list[int], buckets: int = 16_381, slots: int = 131_072) -> tuple[int, list[int], list[int]]:
+def _placed(keys: list[int], buckets: int = 16_381, slots: int = 65_536) -> tuple[int, list[int], list[int]]:
     """(modulus, displacement, slot table): every key k has slot (k % modulus + displacement[k % buckets]) % slots alone."""
-    for prime in range(1_000_003, 1_001_003, 10):
+    for modulus in range(1_000_003, 1_001_003, 10):
         groups: list[list[int]] = [[] for _ in range(buckets)]
         for k in keys:
             groups[k % buckets].append(k)
         shift, table, done = [0] * buckets, [-1] * slots, True
         for b in sorted(range(buckets), key=lambda b: -len(groups[b])):
-            at = [k % prime for k in groups[b]]
+            at = [k % modulus for k in groups[b]]
             if len({a % slots for a in at}) < len(at):
                 done = False
                 break
@@ -91,7 +91,7 @@ def _placed(keys: list[int], buckets: int = 16_381, slots: int = 131_072) -> tup
             for k, a in zip(groups[b], at, strict=True):
                 table[(a + d) % slots] = k
         if done:
-            return prime, shift, table
+            return modulus, shift, table
     raise ValueError("no placement without clash")
 
 
@@ -101,10 +101,11 @@ def _literal(values: list, kind: str) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _placed_merges(path: str) -> tuple[int, list[int], list[int], list[int]]:
+def _placed_merges(path: str) -> tuple[int, list[int], list[int]]:
+    """As ``_placed``; a slot holds key x 2**16 + merged id, -1 if it is free."""
     merges = {a * _SHIFT + b: c for (a, b), c in load(path).merges.items()}
-    prime, shift, table = _placed(list(merges))
-    return prime, shift, table, [merges.get(k, -1) for k in table]
+    modulus, shift, table = _placed(list(merges))
+    return modulus, shift, [k * _SHIFT + merges[k] if k >= 0 else -1 for k in table]
 
 
 def _let(value: Column, body) -> Column:
@@ -114,19 +115,20 @@ def _let(value: Column, body) -> Column:
 def fold_word(word: Column, path: str) -> Column:
     """Token ids of one word: its bytes, then merge after merge, the smallest merged id first.
 
-    The rank map is a literal of three arrays without clashes: one look-up is three array reads.
+    The rank map is a literal of two arrays without clashes: one look-up is two array reads.
     """
-    prime, shift, table, merged = _placed_merges(path)
-    shift_l, table_l, merged_l = _literal(shift, "array<int>"), _literal(table, "array<bigint>"), _literal(merged, "array<int>")
+    modulus, shift, table = _placed_merges(path)
+    shift_l, table_l = _literal(shift, "array<int>"), _literal(table, "array<bigint>")
     bytes_l = _literal(load(path).byte_ids, "array<int>")
 
     def rank(left: Column, right: Column) -> Column:
         key = left.cast("bigint") * _SHIFT + right
-        return _let(key, lambda k: _let((k % prime + F.get(shift_l, (k % 16_381).cast("int"))) % 131_072, lambda s: F.when(F.get(table_l, s.cast("int")) == k, F.get(merged_l, s.cast("int")))))
+        entry = lambda k: F.get(table_l, ((k % modulus + F.get(shift_l, (k % 16_381).cast("int"))) % 65_536).cast("int"))
+        return _let(key, lambda k: _let(entry(k) - k * _SHIFT, lambda m: F.when((m >= 0) & (m < _SHIFT), m)))
 
     def step(ids: Column, _: Column) -> Column:
         n = F.size(ids)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda j: rank(F.get(ids, j), F.get(ids, j + 1)).cast("bigint") * (1 << 20) + j))
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda j: rank(F.get(ids, j), F.get(ids, j + 1)) * (1 << 20) + j))
         return _let(
             F.array_min(pairs),
             lambda best: F.when(best.isNull(), ids).otherwise(

@@ -55,8 +55,8 @@ class TargetSample:
 
     Weights are raked over two margins, the target category shares and the shares the ``source``
     values have among all clips, from the table of cell counts (categories x sources, small and
-    fixed). Every clip gets the key -ln(u) / weight with u a hash of its id; the smallest keys are the
-    draw. Then each category is brought up to its minimum, at the cost of the largest surpluses, again
+    fixed); they give each cell the chance p of its clips. Every clip gets the key -ln(u) / w with u a hash
+    of its id and w = -ln(1 - p), so that keys below 1 come with chance p; the smallest keys are the draw. Then each category is brought up to its minimum, at the cost of the largest surpluses, again
     by smallest key. Keys are counted in logarithmic bins (a few thousand a category), so neither the
     draw nor a hot category is ever sorted in one task: only the bin where a quota ends is.
     """
@@ -75,15 +75,31 @@ class TargetSample:
         self.need = {c: max(math.ceil(t * self.size), m) for c, (t, m) in self.targets.items()}
         self.seed, self._cells = seed, cells
 
+    def _wanted(self) -> dict[int, float]:
+        """Clips per category by the target shares; what a category lacks goes to the others by their shares."""
+        got, open_ = {c: 0.0 for c in self.targets}, {c for c, (t, _) in self.targets.items() if t > 0 and self.available[c]}
+        left = float(self.size)
+        while open_ and left > 1e-9:
+            total = sum(self.targets[c][0] for c in open_)
+            full = {c for c in open_ if got[c] + left * self.targets[c][0] / total >= self.available[c]}
+            for c in full or open_:
+                got[c] = float(self.available[c]) if full else got[c] + left * self.targets[c][0] / total
+            left = self.size - sum(got.values())
+            if not full:
+                break
+            open_ -= full
+        return got
+
     def _keyed(self) -> DataFrame:
         cats, srcs = sorted(self.targets), sorted({r["source"] for r in self._cells})
         counts = np.zeros((len(cats), max(1, len(srcs))))
         for r in self._cells:
             counts[cats.index(r["category_id"]), srcs.index(r["source"])] = r["count"]
-        total = max(counts.sum(), 1.0)
-        weights = rake(counts, [np.array([self.targets[c][0] for c in cats]), counts.sum(0) / total])
-        mean = weights[weights > 0].mean() if (weights > 0).any() else 1.0
-        flat = [(c, s, float(max(weights[i, j] / mean, 1e-9))) for i, c in enumerate(cats) for j, s in enumerate(srcs) if counts[i, j] > 0]
+        total, wanted = max(counts.sum(), 1.0), self._wanted()
+        of = max(sum(wanted.values()), 1e-9)
+        weights = rake(counts, [np.array([wanted[c] / of for c in cats]), counts.sum(0) / total])
+        chance = np.minimum(weights * of / max((weights * counts).sum(), 1e-9), 1 - 1e-6)  # of a clip of the cell to be drawn
+        flat = [(c, s, float(max(-np.log1p(-chance[i, j]), 1e-9))) for i, c in enumerate(cats) for j, s in enumerate(srcs) if counts[i, j] > 0]
         table = self.spark.createDataFrame(flat, "category_id int, source string, weight double")
         u = (F.pmod(F.xxhash64(F.lit(self.seed), F.col("clip")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
         keyed = self.clips.join(F.broadcast(table), ["category_id", "source"]).withColumn("key", -F.log(u) / F.col("weight"))

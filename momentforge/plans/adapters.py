@@ -11,6 +11,7 @@ from typing import Any, Protocol, runtime_checkable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import vector as V
 from ..functions.text import search_tokens
@@ -128,7 +129,7 @@ class Registry:
 def generate(rows: DataFrame, adapter: str, batch: int = 4, prompt: str = "prompt") -> DataFrame:
     """``model_output`` by a text generator named ``module:function`` (list of prompts to list of answers), a few
     prompts at a time, loaded once a Python worker."""
-    out = rows.schema.add("model_output", "string")
+    out = StructType([*rows.schema.fields, StructField("model_output", StringType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         module, _, name = adapter.partition(":")

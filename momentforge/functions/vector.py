@@ -36,7 +36,7 @@ def sound(v: Column, width: int = 64) -> Column:
 
 def mean_rows(rows: Column, width: int, normed: bool) -> Column:
     """The mean of the rows of a matrix, each normed first on request; null for no rows."""
-    of = F.transform(rows, unit) if normed else rows
+    of = F.transform(rows, lambda r: unit(r)) if normed else rows  # noqa: PLW0108 - a second parameter would be the index
     total = F.aggregate(of, F.array_repeat(F.lit(0.0), width), lambda s, r: F.zip_with(s, r, lambda a, b: a + b.cast("double")))
     return F.when(F.size(rows) > 0, F.transform(total, lambda x: x / F.size(rows)))
 

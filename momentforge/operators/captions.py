@@ -137,5 +137,5 @@ def first_caption(rows: DataFrame, order: str = "row_id") -> DataFrame:
 
 def random_caption(rows: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(video_id, row_id): one caption of every video, chosen by a hash of seed, epoch and row."""
-    h = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("row_id"))
+    h = F.md5(F.concat_ws("|", F.lit(f"{seed}|{epoch}"), F.col("row_id").cast("string")))
     return rows.where("video_id is not null").groupBy("video_id").agg(F.min(F.struct(h.alias("h"), "row_id")).alias("x")).select("video_id", "x.row_id")

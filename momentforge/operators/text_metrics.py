@@ -75,7 +75,7 @@ def tfidf_matches(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     a skewed key, which the adaptive join splits.
     """
     def terms(d: DataFrame, key: str) -> DataFrame:
-        w = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+        w = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
         return d.select(key, w.alias("_w")).select(key, F.explode(F.concat(F.col("_w"), ngrams(F.col("_w"), 2))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
     dt, qt = terms(docs, "doc_id"), terms(queries, "query_id")

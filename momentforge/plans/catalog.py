@@ -240,10 +240,16 @@ def _(s, d):
     return search.search_moments(moments(s, d), query_vector(s, d), 10).drop("rerank")
 
 
-@query("search_reranked")
+_JIT = "((('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2))::bigint % 10000) * 7296 + ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint) % 10000"
+
+
+@query("search_reranked", f"""with h as (select printf('v%05d_w%03d', e.vec_id // 5, e.vec_id % 5) as window_id, printf('v%05d', e.vec_id // 5) as video_id, ((e.vec_id % 5) * 5)::double as start_sec, ((e.vec_id % 5) * 5 + 10)::double as end_sec, {_DOT} as stage1 from embeddings e, {_Q0}),
+    g as (select *, md5('q0' || chr(31) || window_id) as h from (select *, row_number() over (partition by video_id order by stage1 desc, window_id) as r from h) where r = 1 order by stage1 desc, window_id limit 50),
+    f as (select video_id, window_id, start_sec, end_sec, stage1, stage1 + 0.12::double * (({_JIT}) / 10000.0::double - 0.5) as rerank from g), s as (select *, round(1 / (1 + exp(-(rerank - 0.3) * 7.0)), 6) as score from f)
+    select video_id, window_id, start_sec, end_sec, stage1, round(rerank, 6) as rerank, score, cast(row_number() over (order by score desc, video_id) as integer) as rank from s order by score desc, video_id limit 10""")
 def _(s, d):
     again = lambda pool: pool.withColumn("rerank", V.jittered(F.col("stage1"), F.lit("q0"), F.col("window_id")))
-    return search.search_moments(moments(s, d), query_vector(s, d), 10, again, fuse=V.fuse_logistic)
+    return search.search_moments(moments(s, d), query_vector(s, d), 10, again, fuse=V.fuse_logistic).withColumn("rerank", F.round("rerank", 6))
 
 
 @query("search_jitter", """
@@ -294,7 +300,13 @@ def _(s, d):
     return search.attach_videos(hits, table(s, d, "videos").select("video_id", "title"))
 
 
-@query("search_pooled_frames")
+_SOUND = "len(frame_features) > 0 and len(list_filter(frame_features, lambda r: len(r) <> 64 or len(list_filter(r, lambda x: x is null or isnan(x) or isinf(x))) > 0 or len(list_filter(r, lambda x: x <> 0)) = 0)) = 0"
+_UNIT = "list_transform({v}, lambda x: x::double / greatest(sqrt(list_sum(list_transform({v}, lambda y: y::double * y::double))), 1e-12))"
+
+
+@query("search_pooled_frames", f"""with w as (select window_id, any_value(frame_features) as f from base where {_SOUND} group by 1), e as (select window_id, generate_subscripts(f, 1) as k, unnest(f) as r from w),
+    n as (select window_id, k, r, {_UNIT.format(v='r')} as u from e), x as (select window_id, unnest(range(1, 65)) as i, u, r from n), m as (select window_id, i, avg(u[i]) as a, avg(r[i]::double) as b from x group by 1, 2)
+    select window_id, round(max(case when i = 1 then a end) / sqrt(sum(a * a)), 6) as first_normed, round(max(case when i = 1 then b end) / sqrt(sum(b * b)), 6) as first_plain from m group by 1""")
 def _(s, d):
     fine = F.forall("frame_features", lambda r: V.sound(r))
     w = table(s, d, "base").where(F.size("frame_features") > 0).where(fine).select("window_id", "frame_features").dropDuplicates(["window_id"])
@@ -413,7 +425,13 @@ def _(s, d):
     return text_metrics.cider(*_answers(s, d), corpus_df=False)
 
 
-@query("eval_tfidf")
+@query("eval_tfidf", r"""
+    with d as (select video_id as doc_id, regexp_extract_all(lower(captions), '[\p{L}\p{N}_]{2,}') as w from videos where captions <> ''), q as (select record_id as query_id, regexp_extract_all(lower(caption), '[\p{L}\p{N}_]{2,}') as w from val_outputs_all where caption is not null),
+    dt as (select doc_id, t, count(*) as tf from (select doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as t from d) group by 1, 2),
+    qt as (select query_id, t, count(*) as tf from (select query_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as t from q) group by 1, 2),
+    n as (select (select count(*) from d) + (select count(*) from q) as n), f as (select t, count(*) as df from (select t from dt union all select t from qt) group by 1), i as (select t, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from f, n),
+    dw as (select doc_id, t, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by doc_id)) as w from dt join i using (t)), qw as (select query_id, t, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by query_id)) as w from qt join i using (t)),
+    s as (select query_id, doc_id, round(sum(dw.w * qw.w), 6) as score from qw join dw using (t) group by 1, 2), r as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from s) select * from r where rank <= 5""")
 def _(s, d):
     docs = table(s, d, "videos").select(F.col("video_id").alias("doc_id"), F.col("captions").alias("text")).where("text <> ''")
     q = table(s, d, "val_outputs_all").where("caption is not null").select(F.col("record_id").alias("query_id"), F.col("caption").alias("text"))
@@ -430,6 +448,14 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
     return localize.saliency(localize.frames(_framed(s, d)), query_vector(s, d))
 
 
+_FRAMES = f"""f as (select window_id, video_id, any_value(frame_times) as ft, any_value(frame_features) as ff from base where video_id is not null and window_id is not null and frame_times is not null and {_SOUND} group by 1, 2),
+    x as (select video_id, window_id, unnest(range(1, least(len(ft), len(ff)) + 1)) as i, ft, ff from f), y as (select video_id, window_id, i, ft[i]::double as t, ff[i] as feature from x where ft[i] is not null),
+    fr as (select * from (select *, t - lag(t) over (partition by video_id order by t, window_id, i) as d from y) where d is null or d > 0.001)"""
+_CURVE = f"""{_FRAMES}, si as (select fr.video_id, fr.t, round(list_sum(list_transform(list_zip({_UNIT.format(v='fr.feature')}, q.embedding), lambda p: p[1] * p[2]::double)), 9) as similarity from fr, {_Q0}),
+    sm as (select *, 0.25::double * coalesce(lag(similarity) over (partition by video_id order by t), 0) + 0.5::double * similarity + 0.25::double * coalesce(lead(similarity) over (partition by video_id order by t), 0) as s from si),
+    cu as (select video_id, t, similarity, case when max(s) over (partition by video_id) - min(s) over (partition by video_id) > 1e-6 then (s - min(s) over (partition by video_id)) / (max(s) over (partition by video_id) - min(s) over (partition by video_id)) else 1.0 end as saliency from sm)"""
+
+
 @query("moment_windows", """
     with v as (select video_id, duration as d from videos where duration > 0 and not isnan(duration)), n as (select *, case when d <= 10 then 1 else cast(ceil((d - 10) / 5) as bigint) + 1 end as n from v),
     w as (select video_id, d, unnest(range(0, n)) as i from n), x as (select distinct video_id, case when d <= 10 then 0.0 else round(least(i * 5.0, d - 10), 3) end as start_sec, d from w)
@@ -450,17 +476,19 @@ def _(s, d):
     return table(s, d, "videos").where("duration > 0 and not isnan(duration)").select("video_id", F.explode(F.transform(c, lambda x: F.round(x, 6))).alias("t"))
 
 
-@query("moment_frames")
+@query("moment_frames", f"with {_FRAMES} select video_id, window_id, t from fr")
 def _(s, d):
     return localize.frames(_framed(s, d)).select("video_id", "window_id", "t")
 
 
-@query("moment_saliency")
+@query("moment_saliency", f"with {_CURVE} select video_id, t, round(similarity, 6) as similarity, round(saliency, 6) as saliency from cu")
 def _(s, d):
     return _curve(s, d).select("video_id", "t", F.round("similarity", 6).alias("similarity"), F.round("saliency", 6).alias("saliency"))
 
 
-@query("moment_islands")
+@query("moment_islands", f"""with {_CURVE}, n as (select *, saliency >= 0.6 and not coalesce(lag(saliency >= 0.6) over (partition by video_id order by t), false) as starts, t - lag(t) over (partition by video_id order by t) as d from cu),
+    g as (select *, sum(starts::integer) over (partition by video_id order by t) as g, coalesce(median(d) over (partition by video_id), 1.0) as step from n)
+    select video_id, round(greatest(min(t) - max(step) / 2, 0), 4) as "start", round(max(t) + max(step) / 2, 4) as "end", round(avg(saliency), 4) as score from g where saliency >= 0.6 group by video_id, g""")
 def _(s, d):
     return localize.islands(_curve(s, d)).select("video_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.round("score", 4).alias("score"))
 
@@ -470,7 +498,7 @@ def _(s, d):
     return localize.localized(_framed(s, d), query_vector(s, d), table(s, d, "videos").where("duration > 0 and not isnan(duration)").select("video_id", "duration"))
 
 
-@query("moment_best_time")
+@query("moment_best_time", f"with {_CURVE} select video_id, t from (select *, row_number() over (partition by video_id order by similarity desc, t) as r from cu) where r = 1")
 def _(s, d):
     return localize.best_time(_curve(s, d))
 
@@ -655,7 +683,7 @@ def _(s, d):
     return splits.member_split(table(s, d, "videos").select("video_id"), "video_id", table(s, d, "val_outputs_all"), table(s, d, "base"))
 
 
-@query("split_random_caption")
+@query("split_random_caption", "select video_id, arg_min(row_id, (md5('42|0|' || row_id), row_id)) as row_id from build_splits where video_id is not null group by 1")
 def _(s, d):
     return captions.random_caption(caps(s, d))
 

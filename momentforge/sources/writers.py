@@ -89,3 +89,16 @@ def export_folder(source: str, target: str) -> str:
     except OSError:
         return "Failed"
     return "Success"
+
+
+def write_data_js(parts: dict[str, DataFrame], path: str, name: str = "DATA") -> None:
+    """Small aggregated tables as one JavaScript constant for a static page."""
+    import json
+
+    body = {k: [json.loads(r[0]) for r in df.limit(100_000).select(F.to_json(F.struct(*df.columns))).collect()] for k, df in parts.items()}
+    Path(path).write_text(f"const {name} = {json.dumps(body, ensure_ascii=False)};\n", encoding="utf-8")
+
+
+def stamped(rows: DataFrame, at=None) -> DataFrame:
+    """Rows with ``created_at``: now in UTC, or a given time for reproducible runs."""
+    return rows.withColumn("created_at", F.lit(at) if at is not None else F.current_timestamp())

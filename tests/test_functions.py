@@ -70,6 +70,8 @@ def test_vectors(spark):
     rows = F.array(F.array(F.lit(2.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))
     assert one(spark, V.pooled(rows, 2)) == pytest.approx([math.sqrt(0.5)] * 2)
     assert one(spark, V.pooled(rows, 2, normed=False)) == pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5)])
+    short = F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.5)), F.array(F.lit(0.0), F.lit(0.2)))
+    assert one(spark, V.pooled(short, 2)) == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)])
     assert one(spark, V.masked_mean(a, F.array(F.lit(0), F.lit(0)))) == 0.0
 
 

@@ -46,6 +46,11 @@ _BASE = r"""trim(regexp_replace(trim(regexp_replace(trim({c}, chr(160)||chr(9)||
 _SPLIT = r"""case lower(trim(split, chr(160)||chr(9)||chr(10)||chr(13)||' ')) when 'train' then 'train' when 'test' then 'test' when 'val' then 'val' when 'validation' then 'val' end"""
 _KEY = r"""coalesce(nullif(regexp_extract({b}, '^([A-Za-z0-9_-]{{11}})_[0-9]+_[0-9]+$', 1), ''), nullif(regexp_extract({u}, '[?&]v=([A-Za-z0-9_-]{{11}})', 1), ''), nullif(regexp_extract({u}, '/([A-Za-z0-9_-]{{11}})([/?#&]|$)', 1), ''))"""
 
+_FIELDS = """case when attrs is not null then array_to_string(list_transform(list_sort(json_keys(attrs)), lambda k: k || '=' ||
+    case when json_type(attrs, '$."' || k || '"') in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'n' || cast(cast(json_extract(attrs, '$."' || k || '"') as double) as varchar) else cast(json_extract(attrs, '$."' || k || '"') as varchar) end), chr(31)) end"""
+_P2 = f"""with r as (select row_id, {_CLIP.format(c='video_id')} as clip, lower(regexp_replace(caption, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as txt, {_FIELDS} as fields from build_splits where caption is not null),
+        g as (select *, min(row_id) over (partition by clip, txt, fields) as first_row_id from r where txt <> '')"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
         with r as (select row_id, {_CLIP.format(c='video_id')} as clip, {_SPLIT} as sp, {_KEY.format(b=_BASE.format(c='video_id'), u="''")} as own from build_splits),
@@ -54,6 +59,8 @@ SQL: dict[str, str] = {
         s as (select r.row_id, r.sp, coalesce('key:' || coalesce(v.k, o.own), 'clip:' || r.clip) as src
               from r join o on r.clip = o.clip left join v on r.clip = v.clip where r.sp is not null)
         select row_id from s where src in (select src from s group by src having count(distinct sp) > 1)""",
+    "p2_found": f"{_P2} select first_row_id, row_id from g where row_id <> first_row_id",
+    "p2_records": f"{_P2} select first_row_id, count(*) as copies from g group by 1",
     "p3_found": """
         with w as (select video_id, window_id, max(stage1_score) as s from base
                    where video_id is not null and window_id is not null and stage1_score is not null and not isnan(stage1_score) group by 1, 2)
@@ -76,4 +83,10 @@ SQL: dict[str, str] = {
         h as (select doc_id, md5(substring(text, p, 160)) as m from w),
         g as (select m from h group by m having min(doc_id) < max(doc_id))
         select distinct doc_id from h where m in (select m from g)""",
+    "p10_shared": """
+        with w as (select doc_id, unnest(range(1, length(text) - 158)) as p, text from documents where length(text) >= 160),
+        h as (select doc_id, p, md5(substring(text, p, 160)) as m from w), g as (select m from h group by m having min(doc_id) < max(doc_id)),
+        c as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(p, p + 160)) as place from h where m in (select m from g)) group by 1)
+        select d.doc_id, cast(coalesce(length(d.text), 0) as integer) as n_chars, cast(coalesce(c.n, 0) as integer) as shared_chars, case when length(d.text) > 0 then coalesce(c.n, 0) / length(d.text) else 0.0 end as shared_share
+        from documents d left join c on d.doc_id = c.doc_id""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="momentforge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that all executors see: below ``spark.checkpoint.dir`` where the session
-    names it, else a temporary folder (only right for a local master)."""
+    names it, else, for a local master only, a temporary folder that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir() + "/momentforge"
+        base = _own_dir()
     return f"{base.rstrip('/')}/mf-{uuid.uuid4().hex}"
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .clips import clip_key, letters_digits
 
 
-def _raw_key(*names: str):
-    """128 bits that name a raw row; nulls differ from empty strings."""
+def _key(prefix: str, *names: str):
+    """128 bits that name the values of the columns; nulls differ from empty strings."""
     parts = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
-    return F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit("two"), *parts).alias("k2")
+    return F.xxhash64(F.lit(1), *parts).alias(prefix + "1"), F.xxhash64(F.lit("two"), *parts).alias(prefix + "2")
 
 
 def canonical_fields(json_column: str):
@@ -37,7 +37,7 @@ def canonical_groups(df: DataFrame, id_column: str = "row_id", clip: str = "vide
         .groupBy("video_id", "caption", "attrs").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
     )
     survivors = raw.select(
-        *_raw_key("video_id", "caption", "attrs"), "first", "n",
+        *_key("k", "video_id", "caption", "attrs"), "first", "n",
         clip_key("video_id").alias("clip"), letters_digits("caption").alias("text"), canonical_fields("attrs").alias("fields"),
     ).where("text <> ''")
     groups = survivors.groupBy("clip", "text", "fields").agg(F.min("first").alias("first_row_id"), F.sum("n").alias("copies"))
@@ -52,13 +52,14 @@ def collapse(df: DataFrame, **names: str) -> DataFrame:
 def copies_of(df: DataFrame, id_column: str = "row_id", clip: str = "video_id", text: str = "caption", fields: str = "attrs") -> DataFrame:
     """(first_row_id, row_id) of every row that repeats an earlier one in other dress.
 
-    Rows find their group through the 128-bit key of the raw row; the side that carries the groups
+    Groups are made on the full canonical text. Rows find theirs through 128-bit keys of the raw row and of
+    the canonical record; the side that carries the groups
     has one row per distinct raw row of a repeated record, so a hot group is a skewed probe side that
     the adaptive skew join splits.
     """
     survivors, groups = canonical_groups(df, id_column, clip, text, fields)
-    repeated = groups.where("copies > 1")
-    same = lambda c: F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}"))
-    where = survivors.alias("s").join(repeated.alias("g"), same("clip") & same("text") & same("fields")).select("k1", "k2", "first_row_id")
+    canonical = _key("g", "clip", "text", "fields")
+    repeated = groups.where("copies > 1").select(*canonical, "first_row_id")
+    where = survivors.select("k1", "k2", *canonical).join(repeated, ["g1", "g2"]).select("k1", "k2", "first_row_id")
     rows = df.select(F.col(id_column).alias("row_id"), F.col(clip).alias("video_id"), F.col(text).alias("caption"), F.col(fields).alias("attrs"))
-    return rows.select("row_id", *_raw_key("video_id", "caption", "attrs")).join(where, ["k1", "k2"]).where("row_id <> first_row_id").select("first_row_id", "row_id")
+    return rows.select("row_id", *_key("k", "video_id", "caption", "attrs")).join(where, ["k1", "k2"]).where("row_id <> first_row_id").select("first_row_id", "row_id")

@@ -44,7 +44,7 @@ def minhash_bands(hashes: np.ndarray, starts: np.ndarray, bands: int, per_band:
 
 
 def band_keys(sets: DataFrame, bands: int = BANDS, per_band: int = HASHES_PER_BAND) -> DataFrame:
-    """(set_id, in_train, in_eval, key) of sets (set_id, in_train, in_eval, tokens ARRAY<BIGINT>): one row a band."""
+    """(set_id, key) of sets (set_id, tokens ARRAY<BIGINT>): one row a band; empty sets have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -54,12 +54,9 @@ def band_keys(sets: DataFrame, bands: int = BANDS, per_band: int = HASHES_PER_BA
             flat = tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
             keys = minhash_bands(np.ascontiguousarray(flat, dtype=np.int64), (offsets[:-1] - offsets[0]).astype(np.int64), bands, per_band)
             again = np.repeat(np.arange(batch.num_rows), bands)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("set_id").take(pa.array(again)), batch.column("in_train").take(pa.array(again)), batch.column("in_eval").take(pa.array(again)), pa.array(keys.ravel())],
-                names=["set_id", "in_train", "in_eval", "key"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(again)), pa.array(keys.ravel())], names=["set_id", "key"])
 
-    return sets.select("set_id", "in_train", "in_eval", "tokens").mapInArrow(run, "set_id bigint, in_train boolean, in_eval boolean, key bigint")
+    return sets.where(F.size("tokens") > 0).select("set_id", "tokens").mapInArrow(run, "set_id bigint, key bigint")
 
 
 def similar_sets(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -71,9 +68,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
     Only rows of the two sides meet; both sides of a bucket are kept whole. The exact similarity of
     every candidate is then computed from the full sets.
     """
-    keys = band_keys(sets)
-    left = keys.where("in_train").select(F.col("set_id").alias("a"), "key")
-    right = keys.where("in_eval").select(F.col("set_id").alias("b"), "key")
+    left = band_keys(sets.where("in_train")).select(F.col("set_id").alias("a"), "key")
+    right = band_keys(sets.where("in_eval")).select(F.col("set_id").alias("b"), "key")
     pairs = left.join(right, "key").where("a <> b").select("a", "b")
     half = pairs.repartition("a").distinct().join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a")
     full = half.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")

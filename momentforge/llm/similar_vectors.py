@@ -113,8 +113,8 @@ def distinct_vectors(windows: DataFrame, k: int) -> DataFrame:
 
 
 def hashed(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """(vec_id, sketch, home, key): one row a table and probe; ``home`` marks the indexed one. The sketch has the signs
-    of 64 more pseudo-rotated coordinates."""
+    """(vec_id, sketch, key): one row a table and probe, the first of which is the home key. The sketch has
+    the signs of 64 more pseudo-rotated coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -123,7 +123,7 @@ def hashed(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
             x = (x / np.abs(x).max(1, keepdims=True))
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            home, probed = polytope_keys(x, tables, axes, probes)
+            _, probed = polytope_keys(x, tables, axes, probes)
             width = 1 << max(1, int(x.shape[1] - 1).bit_length())
             wide = np.zeros((len(x), max(width, SKETCH_BITS)), np.float32)
             wide[:, : x.shape[1]] = x
@@ -131,14 +131,11 @@ def hashed(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame
             sketch = np.packbits(bits, axis=1).view(np.int64).ravel()
             n = tables * probes
             again = np.repeat(np.arange(len(x)), n)
-            is_home = np.zeros((len(x), tables, probes), bool)
-            is_home[:, :, 0] = True
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(again)), pa.array(np.repeat(sketch, n)), pa.array(is_home.ravel()), pa.array(probed.ravel())],
-                names=["vec_id", "sketch", "home", "key"],
+                [batch.column("vec_id").take(pa.array(again)), pa.array(np.repeat(sketch, n)), pa.array(probed.ravel())], names=["vec_id", "sketch", "key"]
             )
 
-    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, sketch bigint, home boolean, key bigint")
+    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, sketch bigint, key bigint")
 
 
 def near_pairs(vectors: DataFrame, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> DataFrame:
@@ -149,9 +146,8 @@ def near_pairs(vectors: DataFrame, tables: int = TABLES, axes: int = AXES, probe
     average; more than 21 for fewer than one in ten thousand), so that vectors far apart that share a bucket
     never leave it.
     """
-    rows = hashed(vectors, tables, axes, probes)
-    stored = rows.where("home").select(F.col("vec_id").alias("s"), F.col("sketch").alias("ss"), "key")
-    asked = rows.select(F.col("vec_id").alias("q"), F.col("sketch").alias("qs"), "key")
+    stored = hashed(vectors, tables, axes, 1).select(F.col("vec_id").alias("s"), F.col("sketch").alias("ss"), "key")
+    asked = hashed(vectors, tables, axes, probes).select(F.col("vec_id").alias("q"), F.col("sketch").alias("qs"), "key")
     met = asked.join(stored, "key").where("q <> s").where(F.bit_count(F.col("qs").bitwiseXOR(F.col("ss"))) <= SKETCH_APART)
     pairs = met.select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct()
     va = vectors.select(F.col("vec_id").alias("a"), F.col("vector").alias("va"))

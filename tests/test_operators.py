@@ -280,3 +280,31 @@ def test_import_and_windows(spark):
     assert got == {"a": ("Title", "ready", "skip"), "b": ("b two", "queued", "insert"), "c": ("c", "queued", "update")}
     w = I.window_rows(spark.createDataFrame([("a", 12.0), ("b", None)], "video_id string, duration double"))
     assert [r.window_id for r in w.collect()] == ["a_w000", "a_w001"]
+
+
+def test_bleu_against_plain_python(spark):
+    import math
+    from collections import Counter
+
+    grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+
+    def plain(p, refs, order):
+        logs = 0.0
+        for n in range(1, order + 1):
+            c = grams(p, n)
+            most = Counter()
+            for r in refs:
+                most |= grams(r, n)
+            hit, total = sum(min(k, most[g]) for g, k in c.items()), max(1, sum(c.values()))
+            if n == 1 and not hit:
+                return 0.0
+            logs += math.log((hit or 0.1) / total)
+        near = min((abs(len(r) - len(p)), len(r)) for r in refs)[1]
+        return (1.0 if len(p) > near else math.exp(1 - near / len(p))) * math.exp(logs / order)
+
+    data = {"a": ("a cat sat on the mat today", ["the cat sat on the mat", "a cat lay on a mat"]), "b": ("the the the", ["the dog runs far away now"]), "c": ("two dogs", ["two dogs play", "dogs play"]), "d": ("red car", ["blue boat"])}
+    p = spark.createDataFrame([(k, v[0]) for k, v in data.items()], "video_id string, prediction string")
+    r = spark.createDataFrame([(k, c) for k, v in data.items() for c in v[1]], "video_id string, caption string")
+    for row in M.bleu(p, r).collect():
+        pred, refs = data[row.video_id][0].split(), [x.split() for x in data[row.video_id][1]]
+        assert [row.bleu1, row.bleu2, row.bleu3, row.bleu4] == pytest.approx([plain(pred, refs, n) for n in range(1, 5)], abs=1e-5)

@@ -50,3 +50,22 @@ def test_no_rows_and_long_captions(spark):
     big = " ".join(f"t{i}" for i in range(20_000))
     d = spark.createDataFrame([(2, big, "train", "A"), (1, big + " more", "val", "A")], S)
     assert [tuple(r) for r in overlapping_pairs(d).collect()] == [(1, 2)]
+
+
+def test_digests_never_rule_out_a_similar_pair(spark):
+    from momentforge.llm.cross_split import band_keys, may_reach
+
+    rng, rows, want = random.Random(8), [], []
+    for i in range(600):
+        n = rng.choice([1, 8, 17, 40, 254, 255, 400])
+        a = rng.sample(range(10**12), n)
+        b = a[rng.randrange(0, 1 + n // 3) :] + rng.sample(range(10**12), rng.randrange(0, 1 + n // 4))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if len(set(a) & set(b)) >= 0.75 * len(set(a) | set(b)):
+            want.append(i)
+    d = band_keys(spark.createDataFrame(rows, "set_id bigint, tokens array<bigint>"), 1, 1)
+    a, b = (d.where(F.col("set_id") % 2 == k).select(F.floor(F.col("set_id") / 2).alias("i"), F.col("digest").alias(f"d{k}")) for k in (0, 1))
+    kept = {r.i for r in a.join(b, "i").where(may_reach(F.col("d0"), F.col("d1"), 0.75)).collect()}
+    assert len(want) > 100 and set(want) <= kept
+    far = {i for i in range(300) if i not in want}
+    assert len(kept & far) < len(far)

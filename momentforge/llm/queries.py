@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import cut, table
 from . import broken_pairs, cross_split, format_copies, group_splits, shared_spans, similar_vectors, source_mix, target_sample, tokens, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 
+def _exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = cut(similar_vectors.window_vectors(table(spark, sf_dir, "base")))
+    return similar_vectors.nearest_exact(windows, similar_vectors.query_set(windows))
+
+
 def _sampler(spark: SparkSession, sf_dir: str) -> target_sample.TargetSample:
     return target_sample.TargetSample(table(spark, sf_dir, "build_splits"), table(spark, sf_dir, "category_targets"))
 
@@ -25,7 +30,9 @@ QUERIES: dict[str, Query] = {
     "p3_found": lambda s, d: top_n.top_n(table(s, d, "base"), "video_id", "window_id", "stage1_score", 3).select("video_id", "window_id"),
     "p3_ranked": lambda s, d: top_n.top_n(table(s, d, "base"), "video_id", "window_id", "stage1_score", 3),
     "p4_found": lambda s, d: similar_vectors.near_window_pairs(table(s, d, "base")),
-    "p4_nearest": lambda s, d: similar_vectors.nearest(similar_vectors.window_vectors(table(s, d, "base"))),
+    "p4_nearest": lambda s, d: similar_vectors.nearest(cut(similar_vectors.window_vectors(table(s, d, "base")))),
+    "p4_exact": lambda s, d: _exact_neighbours(s, d),
+    "p4_recall": lambda s, d: similar_vectors.measured_recall(cut(similar_vectors.window_vectors(table(s, d, "base")))),
     "p5_found": lambda s, d: cross_split.overlapping_pairs(table(s, d, "build_splits")),
     "p5_report": lambda s, d: cross_split.overlap_report(table(s, d, "build_splits")),
     "p6_found": lambda s, d: broken_pairs.broken_pairs(table(s, d, "val_outputs_all")),

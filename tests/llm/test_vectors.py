@@ -57,3 +57,25 @@ def test_scaled_copies(spark):
     v = rng.standard_normal(64)
     rows = [("a", None, [float(x) for x in v], None), ("b", None, [float(3 * x) for x in v], None)]
     assert [tuple(r) for r in S.near_window_pairs(spark.createDataFrame(rows, BASE)).collect()] == [("a", "b")]
+
+
+def test_exact_neighbours_of_a_query_set(spark):
+    rng = np.random.default_rng(4)
+    x = np.float32(rng.standard_normal((500, 64)))
+    x[7] = x[3]
+    ids = [f"w{i:04d}" for i in range(500)]
+    w = S.window_vectors(spark.createDataFrame([(i, None, [float(a) for a in v], None) for i, v in zip(ids, x, strict=True)], BASE)).cache()
+    asked = w.where(F.substring("window_id", 5, 1).isin("3", "7"))
+    for block in (8192, 40):
+        got = {}
+        for r in S.nearest_exact(w, asked, 5, block).collect():
+            got.setdefault(r.window_id, {})[r["rank"]] = r.neighbour
+        y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        s = np.round(y @ y.T, 12)
+        np.fill_diagonal(s, -2)
+        assert len(got) == 100
+        for i in range(500):
+            if ids[i] in got:
+                assert [got[ids[i]][k + 1] for k in range(5)] == [ids[j] for j in np.argsort(-s[i], kind="stable")[:5]]
+    assert S.nearest_exact(w, asked.limit(0)).count() == 0
+    assert {r.band for r in S.measured_recall(w).collect()} <= {"0.9 and more", "0.7 to 0.9", "below 0.7"}

@@ -9,18 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import _block
+from .search import _blocks
 
 
 def truth_ranks(gallery: DataFrame, queries: DataFrame, item: str = "id", vector: str = "vector", query: str = "query_id", truth: str = "truth_id") -> DataFrame:
-    """(query, truth, score, rank): where the true item stands for every query of a stated block.
+    """(query, truth, score, rank): where the true item stands for every query of a stated set.
 
     No gallery is sorted: the rank is 1 plus the items that score higher, or equal with a smaller id.
     Queries whose truth is not in the gallery are skipped. Each batch leaves one count a query.
     """
-    spark = gallery.sparkSession
     own = queries.join(gallery.select(F.col(item).alias(truth), F.col(vector).alias("_tv")), truth)
-    block = _block(own, query, vector, [truth, "_tv"])
+    kinds = f"_q bigint, {query} {queries.schema[query].dataType.simpleString()}, {truth} {gallery.schema[item].dataType.simpleString()}, score double"
+    out = None
+    for block in _blocks(own, query, vector, [truth, "_tv"]):
+        part = _ranks_of(gallery, block, item, vector, query, truth, kinds)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ranks_of(gallery: DataFrame, block: dict, item: str, vector: str, query: str, truth: str, kinds: str) -> DataFrame:
     ids, q = block["ids"], block["v"]
     truths = [r[truth] for r in block["rows"]]
     gold = np.round(np.array([float(np.dot(a, np.array(r["_tv"], np.float64))) for a, r in zip(q, block["rows"], strict=True)]), 6)
@@ -37,8 +44,7 @@ def truth_ranks(gallery: DataFrame, queries: DataFrame, item: str = "id", vector
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(better)], names=["_q", "better"])
 
     counts = gallery.select(item, vector).mapInArrow(run, "_q bigint, better bigint").groupBy("_q").agg(F.sum("better").alias("better"))
-    kinds = f"_q bigint, {query} {queries.schema[query].dataType.simpleString()}, {truth} {gallery.schema[item].dataType.simpleString()}, score double"
-    names = spark.createDataFrame([(i, a, t, float(g)) for i, (a, t, g) in enumerate(zip(ids, truths, gold, strict=True))], kinds)
+    names = gallery.sparkSession.createDataFrame([(i, a, t, float(g)) for i, (a, t, g) in enumerate(zip(ids, truths, gold, strict=True))], kinds)
     return names.join(counts, "_q").select(query, truth, "score", (F.col("better") + 1).alias("rank"))
 
 

@@ -35,23 +35,34 @@ def top_k(gallery: DataFrame, query: list[float], k: int, where: Column | None =
     return rows.select(item, F.round(V.dot(F.col(vector), q), 6).alias("score")).orderBy(F.desc("score"), item).limit(k)
 
 
-def _block(queries: DataFrame, query: str, vector: str, extra: list[str]) -> dict:
-    rows = queries.select(query, vector, *extra).limit(MAX_BLOCK + 1).collect()
-    if len(rows) > MAX_BLOCK:
-        raise ValueError(f"a block holds at most {MAX_BLOCK} queries; search in several blocks")
-    return {"ids": [r[query] for r in rows], "v": np.array([r[vector] for r in rows], np.float64), "rows": rows}
+def _blocks(queries: DataFrame, query: str, vector: str, extra: list[str]) -> Iterator[dict]:
+    """The queries in blocks of at most MAX_BLOCK vectors; one empty block when there are none."""
+    rows = queries.select(query, vector, *extra)
+    n = -(-rows.count() * 5 // (4 * MAX_BLOCK))  # hashed blocks vary in size
+    for b in range(max(n, 1)):
+        got = rows.where(F.pmod(F.xxhash64(query), F.lit(max(n, 1))) == b).limit(MAX_BLOCK + 1).collect()
+        if len(got) > MAX_BLOCK:
+            raise ValueError(f"more than {MAX_BLOCK} queries share a block: are ids repeated?")
+        yield {"ids": [r[query] for r in got], "v": np.array([r[vector] for r in got], np.float64), "rows": got}
 
 
 def block_top_k(gallery: DataFrame, queries: DataFrame, k: int, item: str = "id", vector: str = "vector", query: str = "query_id") -> DataFrame:
-    """(query, item, score, rank): the ``k`` best items of every query of a stated block, exactly.
+    """(query, item, score, rank): the ``k`` best items of every query of a stated set, exactly.
 
-    The block (its size is checked) goes to every task, the gallery is streamed through one matrix
-    product a batch and each batch leaves at most k rows a query; so nothing is crossed and only
-    partial top lists are exchanged.
+    The set goes to the tasks in blocks of bounded size; for each block the gallery is streamed through one
+    matrix product a batch, and each batch leaves at most k rows a query; so nothing is crossed and
+    only partial top lists are exchanged.
     """
-    block = _block(queries, query, vector, [])
+    out = None
+    for block in _blocks(queries, query, vector, []):
+        part = _block_top_k(gallery, block, queries.schema[query].dataType.simpleString(), k, item, vector, query)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _block_top_k(gallery: DataFrame, block: dict, kind: str, k: int, item: str, vector: str, query: str) -> DataFrame:
     ids, q = block["ids"], block["v"]
-    kind, name = queries.schema[query].dataType.simpleString(), gallery.schema[item].dataType.simpleString()
+    name = gallery.schema[item].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

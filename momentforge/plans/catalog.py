@@ -211,7 +211,7 @@ def query_vector(s: SparkSession, d: str, vec_id: int = 0) -> list[float]:
 
 _DOT = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double)), 6)"
 _Q0 = "(select embedding from embeddings where vec_id = 0) q"
-_BLOCK = f"q as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0), s as (select q.query_id, e.vec_id as id, e.label, {_DOT} as score from embeddings e, q)"
+_BLOCK = f"q as (select vec_id as query_id, embedding from embeddings where vec_id % 20 = 0), s as (select q.query_id, e.vec_id as id, e.label, {_DOT} as score from embeddings e, q)"
 
 
 @query("search_top_k", f"select e.vec_id as id, {_DOT} as score from embeddings e, {_Q0} order by score desc, id limit 10")
@@ -227,7 +227,7 @@ def _(s, d):
 @query("search_block_top_k", f"with {_BLOCK}, r as (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from s) select * from r where rank <= 10")
 def _(s, d):
     g = gallery(s, d)
-    return search.block_top_k(g, g.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    return search.block_top_k(g, g.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
 
 
 _MOMENTS = f"""with h as (select printf('v%05d_w%03d', e.vec_id // 5, e.vec_id % 5) as window_id, printf('v%05d', e.vec_id // 5) as video_id, ((e.vec_id % 5) * 5)::double as start_sec, ((e.vec_id % 5) * 5 + 10)::double as end_sec, {_DOT} as stage1 from embeddings e, {_Q0}),
@@ -316,14 +316,14 @@ def _(s, d):
 
 # -- evaluation ---------------------------------------------------------------------------------
 def _ranks(s: SparkSession, d: str) -> DataFrame:
-    """Queries are every 50th vector moved towards the next one; the truth is the vector itself."""
+    """Queries are every 20th vector moved towards the next one; the truth is the vector itself."""
     g = gallery(s, d)
     nxt = g.select((F.col("id") - 1).alias("id"), F.col("vector").alias("n"))
-    q = g.where("id % 50 = 0").join(nxt, "id").select(F.col("id").alias("query_id"), F.col("id").alias("truth_id"), F.zip_with("vector", "n", lambda a, b: (a * F.lit(0.5) + b).cast("double")).alias("vector"))
+    q = g.where("id % 20 = 0").join(nxt, "id").select(F.col("id").alias("query_id"), F.col("id").alias("truth_id"), F.zip_with("vector", "n", lambda a, b: (a * F.lit(0.5) + b).cast("double")).alias("vector"))
     return evaluation.truth_ranks(g, q)
 
 
-_RANKS = """q as (select a.vec_id as query_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double * 0.5 + p[2]::double)) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0),
+_RANKS = """q as (select a.vec_id as query_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double * 0.5 + p[2]::double)) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 20 = 0),
     s as (select q.query_id, e.vec_id as id, round(list_sum(list_transform(list_zip(e.embedding, q.v), lambda p: p[1]::double * p[2])), 6) as score from embeddings e, q),
     g as (select query_id, score as gold from s where id = query_id), r as (select s.query_id, g.gold as score, cast(1 + count_if(s.score > g.gold or (s.score = g.gold and s.id < s.query_id)) as bigint) as rank from s join g on s.query_id = g.query_id group by 1, 2)"""
 
@@ -426,7 +426,7 @@ def _(s, d):
 
 
 @query("eval_tfidf", r"""
-    with d as (select video_id as doc_id, regexp_extract_all(lower(captions), '[\p{L}\p{N}_]{2,}') as w from videos where captions <> ''), q as (select record_id as query_id, regexp_extract_all(lower(caption), '[\p{L}\p{N}_]{2,}') as w from val_outputs_all where caption is not null),
+    with d as (select video_id as doc_id, regexp_extract_all(lower(captions), '[\p{L}\p{N}_]{2,}') as w from videos where captions <> ''), q as (select record_id as query_id, regexp_extract_all(lower(caption), '[\p{L}\p{N}_]{2,}') as w from val_outputs_all where caption is not null and record_id % 20 = 0),
     dt as (select doc_id, t, count(*) as tf from (select doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as t from d) group by 1, 2),
     qt as (select query_id, t, count(*) as tf from (select query_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as t from q) group by 1, 2),
     n as (select (select count(*) from d) + (select count(*) from q) as n), f as (select t, count(*) as df from (select t from dt union all select t from qt) group by 1), i as (select t, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from f, n),
@@ -434,7 +434,7 @@ def _(s, d):
     s as (select query_id, doc_id, round(sum(dw.w * qw.w), 6) as score from qw join dw using (t) group by 1, 2), r as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from s) select * from r where rank <= 5""")
 def _(s, d):
     docs = table(s, d, "videos").select(F.col("video_id").alias("doc_id"), F.col("captions").alias("text")).where("text <> ''")
-    q = table(s, d, "val_outputs_all").where("caption is not null").select(F.col("record_id").alias("query_id"), F.col("caption").alias("text"))
+    q = table(s, d, "val_outputs_all").where("caption is not null and record_id % 20 = 0").select(F.col("record_id").alias("query_id"), F.col("caption").alias("text"))
     return text_metrics.tfidf_matches(docs, q)
 
 

@@ -85,6 +85,14 @@ def test_block_search_equals_numpy(spark):
     assert S.block_top_k(g.limit(0), q, 3).count() == 0 and S.block_top_k(g, q.limit(0), 3).count() == 0
 
 
+def test_query_sets_larger_than_a_block(spark, monkeypatch):
+    _, g = gallery(spark)
+    q = g.where("id < 60").select(F.col("id").alias("query_id"), F.col("id").alias("truth_id"), "vector")
+    once = {tuple(r) for r in S.block_top_k(g, q, 3).collect()}, {tuple(r) for r in E.truth_ranks(g, q).collect()}
+    monkeypatch.setattr(S, "MAX_BLOCK", 20)
+    assert ({tuple(r) for r in S.block_top_k(g, q, 3).collect()}, {tuple(r) for r in E.truth_ranks(g, q).collect()}) == once
+
+
 def test_search_modes_and_limits(spark):
     w = spark.createDataFrame([(f"v{i // 60}_w{i % 60}", f"v{i // 60}", 0.0, 10.0, [1.0 - i / 1000, 0.0]) for i in range(180)], "window_id string, video_id string, start_sec double, end_sec double, vector array<float>")
     exact = S.search_moments(w, [1.0, 0.0], 3).collect()

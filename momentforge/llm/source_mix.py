@@ -53,7 +53,8 @@ def mix_plan(totals: DataFrame, targets: DataFrame) -> DataFrame:
 
 def starved_sources(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
     """(source) of every target source that cannot reach its share within its repeats."""
-    return mix_plan(token_totals(docs, "source", path), targets).where("not feasible").select("source")
+    names = [r["source"] for r in targets.select("source").collect()]  # a table of parameters
+    return mix_plan(token_totals(docs, "source", path, names), targets).where("not feasible").select("source")
 
 
 def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, shard_tokens: int = 2_000_000, blocks_per_shard: int = 64, max_shards: int = 4096, bins: int = 1024, seed: int = 9) -> tuple[DataFrame, DataFrame]:

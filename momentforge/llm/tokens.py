@@ -22,6 +22,8 @@ _LONG_RUN = "(?U)" + "|".join(rf"(?<!{c}){c}{{{LONG}}}" for c in (r"\p{L}", r"\p
 #: At most so many words of so many bytes are held as a literal dictionary: a few MB whatever the corpus.
 KEPT_WORDS, KEPT_BYTES = 16_384, 48
 _SHIFT = 1 << 16
+#: Stands for all groups that have no name of their own.
+OTHER = "\x00other"
 
 
 def default_vocabulary() -> str:
@@ -232,13 +234,16 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
     return encoded.select(id_column, F.decode(joined, "UTF-8").alias("text"))
 
 
-def token_totals(docs: DataFrame, group: str, path: str | None = None) -> DataFrame:
-    """(group, tokens): tokens of all texts of each group, null groups left out.
+def token_totals(docs: DataFrame, group: str, path: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """(group, tokens): tokens of all texts of each group, null groups left out; groups that are not among
+    ``only``, if that is given, are added up under the name OTHER.
 
-    Words are counted per group before anything else, and every distinct word is folded once.
+    Words are counted per group before anything else, and every distinct word is folded once. A word keeps a
+    count per group, so ``only`` also bounds what a word carries where groups are many.
     """
     path = path or default_vocabulary()
-    named = docs.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.coalesce("text", F.lit("")).alias("text"))
+    g = F.col(group) if only is None else F.when(F.col(group).isin(only), F.col(group)).otherwise(OTHER)
+    named = docs.where(F.col(group).isNotNull()).select(g.alias("g"), F.coalesce("text", F.lit("")).alias("text"))
     counted = named.select("g", F.explode(words_of("text")).alias("w")).groupBy("w", "g").agg(F.count("*").alias("n"))
     word = counted.groupBy("w").agg(F.collect_list(F.struct("g", "n")).alias("by"))
     usual = word.where(F.length("w") <= LONG).select("by", F.size(fold_word(F.col("w"), path)).alias("k"))

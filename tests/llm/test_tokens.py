@@ -45,6 +45,11 @@ def test_totals_equal_the_ids(spark, library):
     assert {r.source: r.tokens for r in T.token_totals(d, "source").collect()} == want
 
 
+def test_totals_of_some_groups(spark):
+    d = spark.createDataFrame([(1, "one two", "a"), (2, "three", "b"), (3, "four five six", "c"), (4, None, "c"), (5, "x", None)], "doc_id bigint, text string, source string")
+    assert {r.source: r.tokens for r in T.token_totals(d, "source", only=["a", "z"]).collect()} == {"a": 2, T.OTHER: 4}
+
+
 def test_no_rows(spark):
     e = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert T.encode(e).count() == 0 and T.token_totals(e, "source").count() == 0

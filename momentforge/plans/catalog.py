@@ -368,11 +368,11 @@ def _(s, d):
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
     g = gallery(s, d)
-    return g.where("id < 256").select(F.floor(F.col("id") / 16).alias("batch_id"), (F.col("id") % 16).alias("i"), F.col("label").alias("group"), F.col("vector").alias("a"), F.col("vector").alias("b"))
+    return g.select(F.floor(F.col("id") / 16).alias("batch_id"), (F.col("id") % 16).alias("i"), F.col("label").alias("group"), F.col("vector").alias("a"), F.col("vector").alias("b"))
 
 
 def _loss_sql(positive: str) -> str:
-    return f"""with p as (select vec_id // 16 as batch_id, vec_id % 16 as i, label, embedding from embeddings where vec_id < 256),
+    return f"""with p as (select vec_id // 16 as batch_id, vec_id % 16 as i, label, embedding from embeddings),
     l as (select a.batch_id, a.i, b.i as j, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)) / 0.07 as x, ({positive})::integer as p from p a join p b on a.batch_id = b.batch_id),
     r as (select batch_id, i, ln(sum(exp(x))) as lse from l group by 1, 2), c as (select batch_id, j, ln(sum(exp(x))) as lse from l group by 1, 2),
     ri as (select l.batch_id, l.i, -sum((x - lse) * p) / greatest(sum(p), 1) as v from l join r on l.batch_id = r.batch_id and l.i = r.i group by 1, 2),

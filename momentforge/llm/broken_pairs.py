@@ -30,7 +30,8 @@ NEVER_LAST = "the a an is are was were be of and or but with by as from to while
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "devanagari": r"\p{IsDevanagari}", "han": r"\p{IsHan}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}", "arabic": r"\p{IsArabic}", "greek": r"\p{IsGreek}", "hebrew": r"\p{IsHebrew}", "thai": r"\p{IsThai}"}
 # Openings in which a model declines, for corpora too small to show their templates.
 REFUSING = ["i cannot", "i can t", "i can not", "i am unable", "i m unable", "i am not able", "i m not able", "i must decline", "i have to refrain", "i have to decline", "i won t", "i will not", "i do not feel comfortable", "i don t feel comfortable", "it is not possible for me", "as an ai", "as a language model", "i apologize but", "i regret that", "i am sorry but", "i m sorry but"]
-MOST_LEAD_IN, OPENING, SHINGLE, SIMILAR = 6, 8, 5, 0.8
+#: Openings of nine words are compared by single words: with one of them exchanged, 8 of 10 are still shared.
+MOST_LEAD_IN, OPENING, LEAST_OPENING, SIMILAR = 6, 9, 5, 0.8
 
 
 def tokens(c: Column) -> Column:
@@ -81,15 +82,15 @@ def _stems(ts: Column) -> Column:
 def opening_templates(rows: DataFrame) -> DataFrame:
     """(opening): openings (first OPENING words) of answers that belong to a refusal template.
 
-    ``rows`` is (caption_key, opening ARRAY, far BOOLEAN). Openings are clustered by MinHash over their
-    shingles of five words (verified Jaccard of 0.8) and components of the links; a cluster is a
-    refusal template when it recurs over three or more different prompts and at least 0.9 of its
-    answers have next to nothing of their prompt.
+    ``rows`` is (caption_key, opening ARRAY, far BOOLEAN). Openings of five words and more are clustered by
+    MinHash over their words, a repeated word counting as another one (verified Jaccard of 0.8: of nine words
+    one may be exchanged), and components of the links; a cluster is a refusal template when it recurs over
+    three or more different prompts and at least 0.9 of its answers have next to nothing of their prompt.
     """
     seen = cut(
-        rows.where(F.size("opening") >= SHINGLE).groupBy("opening").agg(F.sum(F.col("far").cast("int")).alias("far"), F.count("*").alias("n"), F.collect_set(F.pmod("caption_key", F.lit(64))).alias("prompts"))
+        rows.where(F.size("opening") >= LEAST_OPENING).groupBy("opening").agg(F.sum(F.col("far").cast("int")).alias("far"), F.count("*").alias("n"), F.collect_set(F.pmod("caption_key", F.lit(64))).alias("prompts"))
         .withColumn("set_id", F.xxhash64("opening"))
-        .withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("opening") - SHINGLE), lambda i: F.xxhash64(F.slice("opening", i + 1, SHINGLE)))))
+        .withColumn("tokens", F.transform("opening", lambda w, i: F.xxhash64(w, F.size(F.filter(F.slice("opening", 1, i), lambda x: x == w)))))
     )
     keys = band_keys(seen, bands=12, per_band=3).select("set_id", "key")
     # one row a bucket joins its members: links to the least of a bucket keep the bucket connected
@@ -97,7 +98,7 @@ def opening_templates(rows: DataFrame) -> DataFrame:
     pairs = keys.join(least, "key").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
     sides = lambda n: seen.select(F.col("set_id").alias(n), F.col("tokens").alias("t" + n))
     shared = F.size(F.array_intersect("ta", "tb"))
-    links = pairs.join(sides("a"), "a").join(sides("b"), "b").where(shared >= SIMILAR * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    links = pairs.join(sides("a"), "a").join(sides("b"), "b").where(shared >= SIMILAR * (F.size("ta") + F.size("tb") - shared) - 1e-9).select("a", "b")
     labels = components(links).select(F.col("vertex").cast("bigint").alias("set_id"), "label")
     named = seen.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", F.col("set_id").cast("string")))
     stats = named.groupBy("label").agg(F.sum("far").alias("far"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("prompts")))).alias("prompts"))

@@ -61,3 +61,12 @@ def test_no_rows_and_long_answers(spark):
     big = "the baker lifts the sofa. " * 20_000
     d = spark.createDataFrame([(1, "a baker lifts a sofa", big), (2, big, big)], S)
     assert {tuple(r) for r in broken_pairs(d).collect()} == {(2, "copy")}
+
+
+def test_templates_whose_openings_differ_in_a_word_are_learnt(spark):
+    said = "This topic remains {} for now and nothing more follows here."
+    words = ["closed", "locked", "sealed", "shut", "barred", "blocked", "banned", "fenced", "hidden", "veiled", "masked", "frozen"]
+    rows = [r for r in corpus() if r[0] < 300] + [(400 + i, f"a porter paints a basket number {i}", said.format(w)) for i, w in enumerate(words)]
+    rows += [(500, "a porter paints a basket", "This topic remains off the table for today.")]
+    got = dict(tuple(r) for r in broken_pairs(spark.createDataFrame(rows, S)).collect())
+    assert got == {i: "refusal" for i in [*range(400, 412), 500]}

@@ -120,12 +120,15 @@ def fingerprints(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
 
 
 def _windows(texts_with_places: DataFrame, span: int, gram: int, every: bool) -> DataFrame:
-    """(w, text_id, pos) of texts (text_id, text, places): hashes of the span-long windows that hold an
-    anchor at one of the places; all of them, or those that winnowing over span-long windows keeps."""
+    """(w, text_id, pos, n) of texts (text_id, text, places): hashes of the span-long windows that hold an
+    anchor at one of the places; all of them, or those that winnowing over span-long windows keeps.
+
+    Of all of them, n neighbours with one hash (one character again and again) are one row, which has
+    those between the anchors at its ends too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches):
             r = Rolling(part.column("text").to_pylist())
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             for i, places in enumerate(part.column("places").to_pylist()):
                 w = r.windows(span, i)
                 if not len(w):
@@ -135,19 +138,24 @@ def _windows(texts_with_places: DataFrame, span: int, gram: int, every: bool) ->
                 np.add.at(edge, np.clip(p + gram - span, 0, len(w)), 1)
                 np.add.at(edge, np.clip(p + 1, 0, len(w)), -1)
                 near = np.cumsum(edge)[:-1] > 0
-                if not every:
+                if every:
+                    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                    held = np.logical_or.reduceat(near, first)
+                    at, n = first[held], np.diff(np.append(first, len(w)))[held]
+                else:
                     keep = np.zeros(len(w), bool)
                     keep[winnowed(w, np.ones(len(w), bool), span // 2 + 1)] = True
-                    near &= keep
-                at = np.flatnonzero(near)
-                out.append((w[at], np.full(len(at), i), at))
+                    at = np.flatnonzero(near & keep)
+                    n = np.ones(len(at), np.int64)
+                out.append((w[at], np.full(len(at), i), at, n))
             if out:
-                w, of, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                w, of, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.view(np.int64)), part.column("text_id").take(pa.array(of)), pa.array(at.astype(np.int32))], names=["w", "text_id", "pos"]
+                    [pa.array(w.view(np.int64)), part.column("text_id").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["w", "text_id", "pos", "n"],
                 )
 
-    return texts_with_places.select("text_id", "text", "places").mapInArrow(run, "w bigint, text_id bigint, pos int")
+    return texts_with_places.select("text_id", "text", "places").mapInArrow(run, "w bigint, text_id bigint, pos int, n int")
 
 
 def _contexts(texts_with_places: DataFrame, span: int, gram: int) -> DataFrame:
@@ -280,13 +288,13 @@ def shared_parts(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: i
     runs of ``span`` or more characters; 0 for null, empty and short texts.
 
     All span-long windows around shared anchors are hashed; the characters that shared windows cover
-    are counted once. In a stretch of one repeated character only its ends count.
+    are counted once, stretches of one repeated character included.
     """
     copies, texts, hits = _anchored(docs, span, gram, batches)
     windows = cut(_windows(_with_places(texts, hits), span, gram, every=True))
-    at = windows.join(_in_two(windows), "w", "left_semi").groupBy("text_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    at = windows.join(_in_two(windows), "w", "left_semi").groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("n") - 1 + span).alias("end")))).alias("at"))
     zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
-    step = lambda s, p: F.struct((s["covered"] + p + span - F.greatest(p, s["upto"])).alias("covered"), (p + span).alias("upto"))
+    step = lambda s, p: F.struct((s["covered"] + p["end"] - F.greatest(p["pos"], s["upto"])).alias("covered"), p["end"].alias("upto"))
     covered = at.select("text_id", F.aggregate("at", zero, step)["covered"].alias("covered"))
     n = F.length(F.coalesce("text", F.lit("")))
     all_docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), n.alias("n_chars"))

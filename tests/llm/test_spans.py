@@ -83,3 +83,13 @@ def test_no_rows_and_long_text(spark):
     big = text(rng, 1_000_000)
     d = spark.createDataFrame([(1, big), (2, "x" + big[500_000:500_200]), (3, "q" * 1000)], S)
     assert sorted(r.doc_id for r in sharing_documents(d).collect()) == [1, 2]
+
+
+def test_parts_of_one_repeated_character_against_brute_force(spark):
+    rng = random.Random(7)
+    ruler, passage = "-" * 1000, text(rng, 120) + "=" * 700 + text(rng, 130)
+    rows = [*made(), (600, "a" + ruler + "b"), (601, text(rng, 80) + ruler + text(rng, 40)), (602, text(rng, 30) + "-" * 161), (603, "-" * 159 + text(rng, 90))]
+    rows += [(610, text(rng, 70) + passage), (611, passage + text(rng, 20)), (612, "#" * 400 + text(rng, 200)), (613, "u" * 160), (614, "u" * 161 + "v")]
+    _, covered = brute(rows)
+    got = {r.doc_id: r.shared_chars for r in shared_parts(spark.createDataFrame(rows, S)).collect()}
+    assert got == covered and got[600] == 1000 and got[306] == 500

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .cross_split import band_keys
+from .cross_split import band_keys, may_reach
 from .group_splits import components
 
 # What is written in place of an answer, without marks and in lower case.
@@ -88,20 +88,23 @@ def opening_templates(rows: DataFrame) -> DataFrame:
     three or more different prompts and at least 0.9 of its answers have next to nothing of their prompt.
     """
     seen = cut(
-        rows.where(F.size("opening") >= LEAST_OPENING).groupBy("opening").agg(F.sum(F.col("far").cast("int")).alias("far"), F.count("*").alias("n"), F.collect_set(F.pmod("caption_key", F.lit(64))).alias("prompts"))
+        rows.where(F.size("opening") >= LEAST_OPENING).groupBy("opening").agg(F.sum(F.col("far").cast("int")).alias("far"), F.count("*").alias("n"))
         .withColumn("set_id", F.xxhash64("opening"))
         .withColumn("tokens", F.transform("opening", lambda w, i: F.xxhash64(w, F.size(F.filter(F.slice("opening", 1, i), lambda x: x == w)))))
     )
-    keys = band_keys(seen, bands=12, per_band=3).select("set_id", "key")
-    # one row a bucket joins its members: links to the least of a bucket keep the bucket connected
-    least = keys.groupBy("key").agg(F.min("set_id").alias("a"))
-    pairs = keys.join(least, "key").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    keys = cut(band_keys(seen, bands=24, per_band=5))
+    # all members of a bucket meet, as two may be similar that are not so to a third; most pairs end at their digests
+    side = lambda n: keys.select(F.col("set_id").alias(n), "key", F.col("digest").alias("d" + n))
+    pairs = side("a").join(side("b"), "key").where("a < b").where(may_reach(F.col("da"), F.col("db"), SIMILAR)).select("a", "b").distinct()
     sides = lambda n: seen.select(F.col("set_id").alias(n), F.col("tokens").alias("t" + n))
     shared = F.size(F.array_intersect("ta", "tb"))
     links = pairs.join(sides("a"), "a").join(sides("b"), "b").where(shared >= SIMILAR * (F.size("ta") + F.size("tb") - shared) - 1e-9).select("a", "b")
     labels = components(links).select(F.col("vertex").cast("bigint").alias("set_id"), "label")
     named = seen.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", F.col("set_id").cast("string")))
-    stats = named.groupBy("label").agg(F.sum("far").alias("far"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("prompts")))).alias("prompts"))
+    named = cut(named.select("set_id", "opening", "far", "n", "label"))
+    asked = rows.where(F.size("opening") >= LEAST_OPENING).select(F.xxhash64("opening").alias("set_id"), "caption_key").distinct()
+    prompts = asked.join(named.select("set_id", "label"), "set_id").groupBy("label").agg(F.count_distinct("caption_key").alias("prompts"))
+    stats = named.groupBy("label").agg(F.sum("far").alias("far"), F.sum("n").alias("n")).join(prompts, "label")
     return named.join(stats.where((F.col("prompts") >= 3) & (F.col("far") >= 0.9 * F.col("n"))).select("label"), "label", "left_semi").select("opening")
 
 
@@ -111,7 +114,7 @@ def refusal_openings(rows: DataFrame) -> DataFrame:
     templates = opening_templates(rows)
     start = F.array_join(F.slice("opening", 1, 3), " ")
     revealed = templates.select(start.alias("start")).distinct()
-    stats = rows.select(start.alias("start"), "far", F.pmod("caption_key", F.lit(64)).alias("p")).groupBy("start").agg(F.avg(F.col("far").cast("double")).alias("rate"), F.count_distinct("p").alias("prompts"))
+    stats = rows.select(start.alias("start"), "far", "caption_key").groupBy("start").agg(F.avg(F.col("far").cast("double")).alias("rate"), F.count_distinct("caption_key").alias("prompts"))
     return stats.where("rate >= 0.9 and prompts >= 3").join(revealed, "start", "left_semi").select("start")
 
 

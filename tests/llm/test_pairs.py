@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from momentforge.llm import broken_pairs as module
 from momentforge.llm.broken_pairs import broken_pairs
+from momentforge.llm.cross_split import band_keys
 
 S = "record_id bigint, caption string, model_output string"
 NOUNS = ["kettle", "ladder", "mirror", "sofa", "violin", "tractor", "statue", "basket"]
@@ -70,3 +72,22 @@ def test_templates_whose_openings_differ_in_a_word_are_learnt(spark):
     rows += [(500, "a porter paints a basket", "This topic remains off the table for today.")]
     got = dict(tuple(r) for r in broken_pairs(spark.createDataFrame(rows, S)).collect())
     assert got == {i: "refusal" for i in [*range(400, 412), 500]}
+
+
+def openings(spark, near):
+    other = [(i, [f"w{i}x{k}" for k in range(9)], False) for i in range(12)]
+    rows = [(key, said.split(), True) for key, said in near] + other
+    d = spark.createDataFrame(rows, "caption_key bigint, opening array<string>, far boolean")
+    return {" ".join(r.opening) for r in module.opening_templates(d).collect()}
+
+
+def test_all_members_of_a_bucket_meet(spark, monkeypatch):
+    one_bucket = lambda sets, **k: band_keys(sets, **k).withColumn("key", F.lit(0).cast("bigint")).distinct()
+    monkeypatch.setattr(module, "band_keys", one_bucket)
+    near = [(i, f"this topic remains {w} for now and nothing more") for i, w in enumerate(["closed", "locked", "sealed"])]
+    assert openings(spark, near) == {said for _, said in near}
+
+
+def test_prompts_count_by_full_hash(spark):
+    said = "this topic remains closed for now and nothing more"
+    assert openings(spark, [(64 * i, said) for i in range(3)]) == {said}

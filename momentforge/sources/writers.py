@@ -91,11 +91,16 @@ def export_folder(source: str, target: str) -> str:
     return "Success"
 
 
-def write_data_js(parts: dict[str, DataFrame], path: str, name: str = "DATA") -> None:
-    """Small aggregated tables as one JavaScript constant for a static page."""
+def write_data_js(parts: dict[str, DataFrame], path: str, name: str = "DATA", most: int = 100_000) -> None:
+    """Small aggregated tables as one JavaScript constant for a static page; more than ``most`` rows raise ValueError."""
     import json
 
-    body = {k: [json.loads(r[0]) for r in df.limit(100_000).select(F.to_json(F.struct(*df.columns))).collect()] for k, df in parts.items()}
+    body = {}
+    for k, df in parts.items():
+        rows = df.limit(most + 1).select(F.to_json(F.struct(*df.columns))).collect()
+        if len(rows) > most:
+            raise ValueError(f"too many rows for a page: {k}")
+        body[k] = [json.loads(r[0]) for r in rows]
     Path(path).write_text(f"const {name} = {json.dumps(body, ensure_ascii=False)};\n", encoding="utf-8")
 
 

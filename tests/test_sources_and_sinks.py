@@ -103,3 +103,12 @@ def test_batches_reach_the_sink(spark, tmp_path):
     W.upsert_in_batches(spark.range(250).coalesce(1), send, 100)
     assert sorted(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) == [50, 100, 100]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_data_js_raises_instead_of_cutting(spark, tmp_path):
+    path = tmp_path / "rows.js"
+    with pytest.raises(ValueError, match="too many rows"):
+        W.write_data_js({"t": spark.range(100_001)}, str(path))
+    assert not path.exists()
+    W.write_data_js({"t": spark.range(100_000)}, str(path))
+    assert path.read_text().count('"id"') == 100_000

@@ -258,7 +258,7 @@ def _in_two(windows: DataFrame) -> DataFrame:
     return windows.groupBy("w").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("w")
 
 
-def sharing_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def sharing_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 5) -> DataFrame:
     """(doc_id) of every document with a run of ``span`` or more characters that stands verbatim in another's text.
 
     Texts of ``span`` characters and more that several documents have count whole. Different texts
@@ -283,7 +283,7 @@ def sharing_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch
     return docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.length("text").alias("n")).where(F.col("n") >= span).join(found, "text_id", "left_semi").select("doc_id")
 
 
-def shared_parts(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def shared_parts(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 5) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share): how much of every document stands elsewhere in
     runs of ``span`` or more characters; 0 for null, empty and short texts.
 

@@ -93,3 +93,13 @@ def test_parts_of_one_repeated_character_against_brute_force(spark):
     _, covered = brute(rows)
     got = {r.doc_id: r.shared_chars for r in shared_parts(spark.createDataFrame(rows, S)).collect()}
     assert got == covered and got[600] == 1000 and got[306] == 500
+
+
+def test_default_batches_reach_compaction(spark, monkeypatch):
+    done, compact = [], SpanIndex.compact
+    monkeypatch.setattr(SpanIndex, "compact", lambda self: (compact(self), done.append(len(self.runs))))
+    rows = made()
+    want, covered = brute(rows)
+    d = spark.createDataFrame(rows, S)
+    assert {r.doc_id for r in sharing_documents(d).collect()} == want and done == [1]
+    assert {r.doc_id: r.shared_chars for r in shared_parts(d).collect()} == covered and done == [1, 1]

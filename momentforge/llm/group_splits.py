@@ -12,9 +12,10 @@ from .clips import clip_key, clip_sources, split_name
 def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFrame:
     """(vertex, label): connected components of the undirected edges (a, b) by random-mate contraction.
 
-    Every round each vertex flips a coin (a hash of seed, round and id). A tail with a head neighbour
+    First vertices with one neighbour collapse into it (of two that only have each other the larger), which
+    ends stars. Then in every round each vertex flips a coin (a hash of seed, round and id). A tail with a head neighbour
     collapses into its smallest such neighbour; a head whose only neighbour is a smaller head
-    collapses too, so stars end in one good flip. No chain can arise, as what is collapsed into never
+    collapses too. No chain can arise, as what is collapsed into never
     moves in the same round. The edges are relabelled and the round's (child, parent) table is kept;
     when no edge is left the tables are unwound from the last to the first. Each round is a
     map-side-combined aggregate and two joins with a table that has one row a vertex, so a vertex
@@ -29,12 +30,18 @@ def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFr
     e, steps = cut(both(e)), []
     for r in range(max_rounds):
         head = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(c)), F.lit(2)) == 1  # noqa: B023, E731
-        around = e.groupBy("a").agg(F.count("*").alias("degree"), F.min(F.when(head("b"), F.col("b"))).alias("mate"), F.min("b").alias("least"))
-        parent = cut(
-            around.where("mate is not null")
-            .where(~head("a") | ((F.col("degree") == 1) & (F.col("a") > F.col("least"))))
-            .select(F.col("a").alias("child"), F.col("mate").alias("parent"))
-        )
+        if r == 0:
+            degree = e.groupBy("a").agg(F.count("*").alias("degree"), F.min("b").alias("mate"))
+            ends = degree.where("degree = 1").select(F.col("a").alias("child"), F.col("mate").alias("parent"))
+            other = ends.select(F.col("child").alias("c2"), F.lit(True).alias("end"))
+            parent = cut(ends.join(other, F.col("parent") == F.col("c2"), "left").where("end is null or child > parent").select("child", "parent"))
+        else:
+            around = e.groupBy("a").agg(F.count("*").alias("degree"), F.min(F.when(head("b"), F.col("b"))).alias("mate"), F.min("b").alias("least"))
+            parent = cut(
+                around.where("mate is not null")
+                .where(~head("a") | ((F.col("degree") == 1) & (F.col("a") > F.col("least"))))
+                .select(F.col("a").alias("child"), F.col("mate").alias("parent"))
+            )
         steps.append(parent)
         move = lambda d, c: d.join(parent, d[c] == parent["child"], "left").withColumn(c, F.coalesce("parent", c)).select("a", "b")  # noqa: B023, E731
         e = cut(move(move(e, "a"), "b").where("a <> b").distinct())

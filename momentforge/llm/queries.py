@@ -35,7 +35,7 @@ QUERIES: dict[str, Query] = {
     "p4_recall": lambda s, d: similar_vectors.measured_recall(cut(similar_vectors.window_vectors(table(s, d, "base")))),
     "p5_found": lambda s, d: cross_split.overlapping_pairs(table(s, d, "build_splits")),
     "p5_report": lambda s, d: cross_split.overlap_report(table(s, d, "build_splits")),
-    "p6_found": lambda s, d: broken_pairs.broken_pairs(table(s, d, "val_outputs_all")),
+    "p6_found": lambda s, d: broken_pairs.broken_pairs(table(s, d, "val_outputs_all"), known=()),
     "p7_found": lambda s, d: _sampler(s, d).report().where("not met").select("category_id"),
     "p7_report": lambda s, d: _sampler(s, d).report(),
     "p7_sample": lambda s, d: _sampler(s, d).draw()[0],

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The words of the vocabulary's scheme. (?U) makes \s hold all Unicode white space.
-WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with a run of one class this long go to the O(n log n) merge, as the fold is quadratic in a word.
+#: All Unicode white space, as a class of its own is matched faster than \s under (?U).
+_S = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The words of the vocabulary's scheme.
+WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Longer words get the same ids from an O(n log n) merge, as the fold is quadratic in a word.
 LONG = 120
-_LONG_RUN = "(?U)" + "|".join(rf"(?<!{c}){c}{{{LONG}}}" for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s"))
 #: At most so many words of so many bytes are held as a literal dictionary: a few MB whatever the corpus.
 KEPT_WORDS, KEPT_BYTES = 16_384, 48
 _SHIFT = 1 << 16
@@ -122,25 +123,19 @@ def fold_word(word: Column, path: str) -> Column:
     modulus, shift, table = _placed_merges(path)
     shift_l, table_l = _literal(shift, "array<int>"), _literal(table, "array<bigint>")
     bytes_l = _literal(load(path).byte_ids, "array<int>")
-
-    def rank(left: Column, right: Column) -> Column:
-        key = left.cast("bigint") * _SHIFT + right
-        entry = lambda k: F.get(table_l, ((k % modulus + F.get(shift_l, (k % 16_381).cast("int"))) % 65_536).cast("int"))
-        return _let(key, lambda k: _let(entry(k) - k * _SHIFT, lambda m: F.when((m >= 0) & (m < _SHIFT), m)))
+    # the entry of a key is the key and the merged id, so what differs from the key alone is the id, or large
+    place = lambda k: ((k % modulus + F.get(shift_l, (k % 16_381).cast("int"))) % 65_536).cast("int")
+    rank = lambda k: F.get(table_l, place(k)).bitwiseXOR(F.shiftleft(k, 16)).bitwiseAND(F.lit((1 << 63) - 1))
 
     def step(ids: Column, _: Column) -> Column:
         n = F.size(ids)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda j: rank(F.get(ids, j), F.get(ids, j + 1)) * (1 << 20) + j))
-        return _let(
-            F.array_min(pairs),
-            lambda best: F.when(best.isNull(), ids).otherwise(
-                _let((best % (1 << 20)).cast("int"), lambda j: F.concat(F.slice(ids, F.lit(1), j), F.array((best / (1 << 20)).cast("int")), F.slice(ids, j + 3, F.greatest(n - j - 2, F.lit(0)))))
-            ),
-        )
+        keys = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: a.cast("bigint") * _SHIFT + b)
+        merged = lambda rs, best: _let(F.array_position(rs, best).cast("int"), lambda j: F.concat(F.slice(ids, F.lit(1), j - 1), F.array(best.cast("int")), F.slice(ids, j + 2, n)))
+        return F.when(n < 2, ids).otherwise(_let(F.transform(keys, rank), lambda rs: _let(F.array_min(rs), lambda best: F.when(best < _SHIFT, merged(rs, best)).otherwise(ids))))
 
-    raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    first = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.get(bytes_l, F.ascii(F.substring(raw, i, F.lit(1)))))
-    return F.aggregate(F.sequence(F.lit(1), F.length(raw)), first, step)
+    of_bytes = lambda raw: F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.get(bytes_l, F.ascii(F.substring(raw, i, F.lit(1)))))
+    first = _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of_bytes)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, step)
 
 
 def words_of(text: str | Column) -> Column:
@@ -171,20 +166,11 @@ def heap_encode(word: bytes, merges: dict[tuple[int, int], int], byte_ids: list[
 
 
 def _long_encoder(path: str):
-    vocabulary = load(path)
-    merges, byte_ids = vocabulary.merges, vocabulary.byte_ids
-    known: dict[str, list[int]] = {}
-
+    """Ids of the words of an array; null for a null word and a null array."""
     @F.pandas_udf("array<array<int>>")
     def encode(words: pd.Series) -> pd.Series:
-        def one(w: str) -> list[int]:
-            if (ids := known.get(w)) is None:
-                ids = heap_encode(w.encode(), merges, byte_ids)
-                if len(w) < LONG and len(known) < 100_000:
-                    known[w] = ids
-            return ids
-
-        return words.map(lambda ws: [one(w) for w in ws])
+        one = lambda w: None if w is None else heap_encode(w.encode(), load(path).merges, load(path).byte_ids)
+        return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
 
     return encode
 
@@ -208,23 +194,26 @@ def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     """(id_column, ids) and the columns to ``keep``: the token ids of every text; an empty list for null and for empty texts.
 
     Frequent words are looked up in a literal dictionary of bounded size, others are folded where they
-    stand, so the texts never cross an exchange. Texts with a run of more than LONG characters of
-    one class (letters, digits, marks or white space) get the same merges from a heap in Python. Ids repeat with their rows.
+    stand, so the texts never cross an exchange; most of these stand once in a corpus, so that to fold every distinct word
+    once and join it back would be as many folds and an exchange of all texts. Only words of more than LONG characters
+    leave the fold: they get the same merges from a heap in Python, the rest of their text does not. Ids repeat with their rows.
     """
     path = path or default_vocabulary()
     carried = [id_column, *keep]
     named = docs.select(*carried, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    long = F.col("_text").rlike(_LONG_RUN)
     table = _word_encoder(named, path)
+    words = named.select(*carried, words_of("_text").alias("_words"))
+    is_long = lambda w: F.length(w) > LONG
 
     def one(w: Column) -> Column:
         if table is None:
             return fold_word(w, path)
         return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.xxhash64(w), F.lit(2 * KEPT_WORDS)).cast("int")), w), fold_word(w, path))
 
-    usual = named.where(~long).select(*carried, F.flatten(F.transform(words_of("_text"), one)).alias("ids"))
-    rest = named.where(long).select(*carried, F.flatten(_long_encoder(path)(words_of("_text"))).alias("ids"))
-    return usual.union(rest)
+    lengthy = F.when(F.exists("_words", is_long), F.transform("_words", lambda w: F.when(is_long(w), w)))
+    words = words.withColumn("_long", _long_encoder(path)(lengthy))
+    ids = F.transform("_words", lambda w, i: F.coalesce(F.get("_long", i), one(w)))
+    return words.select(*carried, F.flatten(ids).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id") -> DataFrame:

@@ -13,6 +13,10 @@ from ..session import cut
 
 #: Fixed by the recall measured against brute force (README).
 TABLES, AXES, PROBES, SKETCH_BITS, SKETCH_APART = 8, 3, 4, 64, 21
+#: Neighbours of this cosine and more are promised by the tables; places left open are filled by WIDE of the signed axes of one more rotation.
+PROMISED, WIDE = 0.9, 28
+#: Buckets of more stored vectors are not paired but go through matrix products, in blocks of so many vectors.
+LARGE, BLOCK = 64, 8192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -112,43 +116,107 @@ def distinct_vectors(windows: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("window_id")).alias("ids")).select(F.col("k1").alias("vec_id"), "vector", "ids")
 
 
+def _unit(column: pa.Array, n: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _lists_of(keys: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+
+
 def hashed(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """(vec_id, sketch, key): one row a table and probe, the first of which is the home key. The sketch has
+    """(vec_id, sketch, keys): ``probes`` keys a table, the first of which is the home key. The sketch has
     the signs of 64 more pseudo-rotated coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = batch.column("vector")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            x = (x / np.abs(x).max(1, keepdims=True))
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            x = _unit(batch.column("vector"), batch.num_rows)
             _, probed = polytope_keys(x, tables, axes, probes)
             width = 1 << max(1, int(x.shape[1] - 1).bit_length())
             wide = np.zeros((len(x), max(width, SKETCH_BITS)), np.float32)
             wide[:, : x.shape[1]] = x
             bits = rotate(wide, _signs(wide.shape[1], 1, 977)[0])[:, :SKETCH_BITS] > 0
             sketch = np.packbits(bits, axis=1).view(np.int64).ravel()
-            n = tables * probes
-            again = np.repeat(np.arange(len(x)), n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(again)), pa.array(np.repeat(sketch, n)), pa.array(probed.ravel())], names=["vec_id", "sketch", "key"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sketch), _lists_of(probed.reshape(len(x), -1))], names=["vec_id", "sketch", "keys"])
+
+    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, sketch bigint, keys array<bigint>")
+
 
-    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, sketch bigint, key bigint")
+def wide_keys(vectors: DataFrame, probes: int, seed: int = 41) -> DataFrame:
+    """(vec_id, keys): the ``probes`` nearest signed axes of one pseudo-rotation, nearest first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(batch.column("vector"), batch.num_rows)
+            width = 1 << max(1, int(x.shape[1] - 1).bit_length())
+            wide = np.zeros((len(x), width), np.float32)
+            wide[:, : x.shape[1]] = x
+            y = rotate(wide, _signs(width, 1, seed)[0])
+            at = np.argsort(-np.abs(y), 1, kind="stable")[:, : min(probes, width)]
+            keys = at.astype(np.int64) * 2 + (np.take_along_axis(y, at, 1) < 0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), _lists_of(keys)], names=["vec_id", "keys"])
 
+    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, keys array<bigint>")
 
-def near_pairs(vectors: DataFrame, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> DataFrame:
-    """(a, b, cosine), a < b: exact cosine of the candidate pairs of distinct vectors.
+
+def bucket_best(asked: DataFrame, stored: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(q, o, cosine): for every asked vector the ``k`` most similar stored ones of each of its buckets and blocks.
+
+    ``asked`` is (key, q, v), ``stored`` (key, o, v). Both sides of a bucket are cut into blocks of about ``block``
+    vectors, counted beforehand, so that no task holds more than one block of each; two blocks meet in matrix
+    products, of which ``k`` rows an asked vector leave the task.
+    """
+    blocks = lambda d, n: d.groupBy("key").agg(F.ceil(F.count("*") / block).alias(n))
+    sizes = cut(blocks(asked, "na").join(blocks(stored, "ns"), "key"))
+    of = lambda c, n: F.pmod(F.xxhash64(F.lit(8), c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = asked.join(sizes, "key").select("key", of("q", "na").alias("a_block"), every("ns").alias("s_block"), "q", "v")
+    right = stored.join(sizes, "key").select("key", every("na").alias("a_block"), of("o", "ns").alias("s_block"), "o", "v")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"q": pa.array([], pa.int64()), "o": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        rows = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
+        x, y, q, o = rows(left), rows(right), left.column("q").to_numpy(), right.column("o").to_numpy()
+        nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+        ux, uy = (x / nx[:, None]).astype(np.float32), (y / ny[:, None]).astype(np.float32)
+        out: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(x), 512):
+            s = ux[at : at + 512] @ uy.T
+            s[q[at : at + 512, None] == o[None, :]] = -2
+            top = np.argpartition(-s, k - 1, 1)[:, :k] if len(y) > k else np.broadcast_to(np.arange(len(y)), s.shape)
+            i, j = np.nonzero(np.take_along_axis(s, top, 1) > -2)
+            r, c = i + at, top[i, j]
+            # as in near_pairs: rounded, so that vectors that differ by a factor only tie
+            out.append((q[r], o[c], np.round((x[r] * y[c]).sum(1) / np.sqrt((x[r] * x[r]).sum(1) * (y[c] * y[c]).sum(1)), 12)))
+        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"q": a, "o": b, "cosine": c})
+
+    groups = ["key", "a_block", "s_block"]
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(run, "q bigint, o bigint, cosine double")
+
+
+def near_pairs(vectors: DataFrame, k: int = 5, tables: int = TABLES, axes: int = AXES, probes: int = PROBES, large: int = LARGE) -> DataFrame:
+    """(q, o, cosine): exact cosine of the candidate pairs of distinct vectors, in both directions.
 
     Every vector is stored under its home key of each table and probes several; pairs whose 64 sign
     bits differ in more than 21 places are dropped in the join (a cosine of 0.9 differs in 9 on
     average; more than 21 for fewer than one in ten thousand), so that vectors far apart that share a bucket
-    never leave it.
+    never leave it. Buckets that store more than ``large`` vectors (dense clusters of near copies) are not paired:
+    they go through ``bucket_best``, which keeps the ``k`` best of each asked vector.
     """
-    stored = hashed(vectors, tables, axes, 1).select(F.col("vec_id").alias("s"), F.col("sketch").alias("ss"), "key")
-    asked = hashed(vectors, tables, axes, probes).select(F.col("vec_id").alias("q"), F.col("sketch").alias("qs"), "key")
-    met = asked.join(stored, "key").where("q <> s").where(F.bit_count(F.col("qs").bitwiseXOR(F.col("ss"))) <= SKETCH_APART)
+    keys = cut(hashed(vectors, tables, axes, probes))
+    stored = keys.select(F.col("vec_id").alias("s"), F.col("sketch").alias("ss"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get("keys", t * probes))).alias("key"))
+    asked = keys.select(F.col("vec_id").alias("q"), F.col("sketch").alias("qs"), F.explode("keys").alias("key"))
+    crowded = cut(stored.groupBy("key").count().where(F.col("count") > large).select("key"))
+    hot = not crowded.isEmpty()
+    usual = (lambda d: d.join(crowded, "key", "left_anti")) if hot else (lambda d: d)
+    met = usual(asked).join(usual(stored), "key").where("q <> s").where(F.bit_count(F.col("qs").bitwiseXOR(F.col("ss"))) <= SKETCH_APART)
     pairs = met.select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct()
     va = vectors.select(F.col("vec_id").alias("a"), F.col("vector").alias("va"))
     vb = vectors.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb"))
@@ -164,11 +232,17 @@ def near_pairs(vectors: DataFrame, tables: int = TABLES, axes: int = AXES, probe
             c = np.round((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)), 12)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(c)], names=["a", "b", "cosine"])
 
-    return both.mapInArrow(cosines, "a bigint, b bigint, cosine double")
+    found = cut(both.mapInArrow(cosines, "a bigint, b bigint, cosine double"))
+    directed = found.select(F.col("a").alias("q"), F.col("b").alias("o"), "cosine").union(found.select(F.col("b").alias("q"), F.col("a").alias("o"), "cosine"))
+    if not hot:
+        return directed
+    held = lambda d, c: d.join(crowded, "key", "left_semi").select("key", c).join(vectors.select(F.col("vec_id").alias(c), F.col("vector").alias("v")), c)
+    return cut(directed.union(bucket_best(held(asked, "q"), held(stored, "s").withColumnRenamed("s", "o"), k)).distinct())
 
 
-def _lists(windows: DataFrame, vectors: DataFrame, directed: DataFrame, k: int) -> DataFrame:
-    """(window_id, neighbour, cosine, rank) from (q, o, cosine) rows of distinct vectors.
+def _best(vectors: DataFrame, directed: DataFrame, k: int) -> DataFrame:
+    """(q, near): the ``k`` + 1 most similar windows of every distinct vector from (q, o, cosine) rows, as
+    an ordered array of (r, neighbour, cosine).
 
     Members of a class of equal vectors are each other's nearest at cosine 1.
     """
@@ -178,25 +252,46 @@ def _lists(windows: DataFrame, vectors: DataFrame, directed: DataFrame, k: int)
     # k + 1, as a window's own id may be among those of its class
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cosine").desc(), "neighbour"))
     lists = best.union(own).withColumn("r", rank).where(F.col("r") <= k + 1)
-    lists = lists.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "cosine"))).alias("near"))
+    return lists.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "cosine"))).alias("near"))
+
+
+def _lists(windows: DataFrame, vectors: DataFrame, directed: DataFrame, k: int) -> DataFrame:
+    """(window_id, neighbour, cosine, rank) from (q, o, cosine) rows of distinct vectors."""
     members = windows.select("window_id", F.xxhash64(F.lit(1), "vector").alias("q"))
     others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("window_id")), 1, k)
     return (
-        members.join(lists, "q").select("window_id", F.posexplode(others).alias("p", "n"))
+        members.join(_best(vectors, directed, k), "q").select("window_id", F.posexplode(others).alias("p", "n"))
         .select("window_id", F.col("n.neighbour").alias("neighbour"), F.col("n.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))
     )
 
 
-def nearest(windows: DataFrame, k: int = 5, **shape: int) -> DataFrame:
+def far_pairs(vectors: DataFrame, directed: DataFrame, k: int, wide: int = WIDE) -> DataFrame:
+    """(q, o, cosine) for the vectors that have fewer than ``k`` neighbours of the promised cosine: the ``k`` best of each of the
+    buckets of the ``wide`` signed axes nearest to them, in one more rotation.
+
+    A neighbour that is hardly nearer than the rest shares no key with its vector but by chance, so this looks through
+    a part of all vectors that does not shrink as they grow: the cost of such vectors grows with their number times all.
+    """
+    sure = _best(vectors, directed.where(F.col("cosine") >= PROMISED), k).where(F.size("near") > k).select(F.col("q").alias("vec_id"))
+    open_ = vectors.join(sure, "vec_id", "left_anti").select("vec_id", "vector")
+    homes = wide_keys(vectors, 1).select(F.col("vec_id").alias("o"), F.get("keys", F.lit(0)).alias("key"))
+    asked = wide_keys(open_, wide).select(F.col("vec_id").alias("q"), F.explode("keys").alias("key"))
+    with_vector = lambda d, c: d.join(vectors.select(F.col("vec_id").alias(c), F.col("vector").alias("v")), c)
+    return bucket_best(with_vector(asked, "q"), with_vector(homes, "o"), k)
+
+
+def nearest(windows: DataFrame, k: int = 5, wide: int = WIDE, **shape: int) -> DataFrame:
     """(window_id, neighbour, cosine, rank): up to ``k`` most similar windows of every window, ties by
     neighbour id, among the candidates of the hash tables.
 
-    The accuracy promise is for neighbours of cosine 0.9 and more (recall above 0.99 against brute
-    force); farther ones are found by chance only, and ``nearest_exact`` finds them for a stated query set.
+    The tables promise neighbours of cosine 0.9 and more (recall above 0.99 against brute
+    force). Windows with fewer than ``k`` of these look further, in ``wide`` buckets of one more rotation (0: not), so
+    that recall over all places is above 0.9 too; ``nearest_exact`` finds all for a stated query set.
     """
     vectors = cut(distinct_vectors(windows, k))
-    pairs = cut(near_pairs(vectors, **shape))
-    directed = pairs.select(F.col("a").alias("q"), F.col("b").alias("o"), "cosine").union(pairs.select(F.col("b").alias("q"), F.col("a").alias("o"), "cosine"))
+    directed = near_pairs(vectors, k, **shape)
+    if wide:
+        directed = directed.union(cut(far_pairs(vectors, directed, k, wide))).distinct()
     return _lists(windows, vectors, directed, k)
 
 
@@ -257,18 +352,20 @@ def nearest_exact(windows: DataFrame, queries: DataFrame, k: int = 5, block: int
 
 
 def measured_recall(windows: DataFrame, k: int = 5, of: int = 20) -> DataFrame:
-    """(band, exact, found, recall): how many of the exact neighbours of the stated query set the hash tables
-    find, by their cosine."""
+    """(band, exact, found, recall, recall_in_all): how many of the exact neighbours of the stated query set the hash tables
+    find, by their cosine and over all bands."""
     asked = query_set(windows, of)
     exact = nearest_exact(windows, asked, k).select("window_id", "neighbour", "cosine")
     got = nearest(windows, k).select("window_id", "neighbour", F.lit(True).alias("hit"))
     band = F.when(F.col("cosine") >= 0.9, "0.9 and more").when(F.col("cosine") >= 0.7, "0.7 to 0.9").otherwise("below 0.7")
-    j = exact.join(got, ["window_id", "neighbour"], "left").groupBy(band.alias("band"))
-    return j.agg(F.count("*").alias("exact"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("exact"), 4))
+    by = exact.join(got, ["window_id", "neighbour"], "left").groupBy(band.alias("band")).agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    share = lambda f, e: F.round(f / e, 4)
+    every = Window.partitionBy(F.lit(0))  # three rows
+    return by.withColumn("recall", share(F.col("found"), F.col("exact"))).withColumn("recall_in_all", share(F.sum("found").over(every), F.sum("exact").over(every)))
 
 
-def near_window_pairs(base: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame:
+def near_window_pairs(base: DataFrame, k: int = 5, least: float = PROMISED) -> DataFrame:
     """(window_id_a, window_id_b), smaller id first: pairs of cosine ``least`` or more of which one is
     among the ``k`` most similar of the other."""
-    found = nearest(cut(window_vectors(base)), k).where(F.col("cosine") >= least)
+    found = nearest(cut(window_vectors(base)), k, wide=0).where(F.col("cosine") >= least)
     return found.select(F.least("window_id", "neighbour").alias("window_id_a"), F.greatest("window_id", "neighbour").alias("window_id_b")).distinct()

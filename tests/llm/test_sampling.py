@@ -87,3 +87,45 @@ def test_starved(spark):
 def test_mix_of_nothing(spark):
     rows, report = mix(spark.createDataFrame([], D), spark.createDataFrame([("a", 1.0, 2)], M))
     assert rows.count() == 0 and [(x.source, x.tokens, x.feasible) for x in report.collect()] == [("a", 0, True)]
+
+
+def test_shards_are_written_shuffled_and_whole(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words here. "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    rows, report = mix(docs, spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], M), shard_tokens=1500, blocks_per_shard=8)
+    read = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    assert len({r.shard for r in read}) > 3
+    for shard in {r.shard for r in read}:
+        mine = [r for r in read if r.shard == shard]
+        assert len({r.part for r in mine}) == 1 and [r.place for r in mine] == sorted(r.place for r in mine)
+        assert [r.doc_id for r in mine] != sorted(r.doc_id for r in mine)
+    r = {x.source: x for x in report.collect()}
+    assert abs(r["a"].actual_share - r["a"].reachable_share) < 0.02 and abs(r["a"].reachable_share + r["b"].reachable_share - 1) < 1e-9
+
+
+def test_tasks_split_the_tree_as_the_driver_does(spark, monkeypatch):
+    from momentforge.llm import source_mix
+
+    q = np.array([700, 0, 130, 23])
+    monkeypatch.setattr(source_mix, "NODES", 4)
+    got = source_mix.deal_blocks(spark, ["a", "b", "c", "d"], q, 37, 5).collect()
+    want = {(s, lo): (int(first[i]), int(have[i])) for lo, _, first, have in source_mix.split_nodes(q, 37, 5, 37) for i, s in enumerate("abcd") if have[i]}
+    assert {(r.source, r.shard): (r["first"], r.n) for r in got} == want
+    for s, n in zip("abcd", q, strict=True):
+        runs = sorted((r["first"], r.n) for r in got if r.source == s)
+        assert sum(k for _, k in runs) == n and all(a + k == b for (a, k), (b, _) in zip(runs, runs[1:]))
+
+
+def test_met_means_taken(spark):
+    rows = spark.range(90).select(F.format_string("v%02d", "id").alias("video_id"), (F.col("id") % 3).cast("string").alias("category"), F.lit("A").alias("source"))
+    shares = spark.createDataFrame([(0, "a", 0.34, 1), (1, "b", 0.33, 1), (2, "c", 0.33, 30)], T)
+    for r in TargetSample(rows, shares).report().collect():
+        assert r.met == (r.taken >= r.need) and r.reachable == (r.available >= r.need) and (r.gap == 0) == r.met
+
+
+def test_sources_beyond_the_bound_share_a_margin(spark, monkeypatch):
+    from momentforge.llm import target_sample
+
+    monkeypatch.setattr(target_sample, "MAX_SOURCES", 5)
+    rows = spark.range(400).select(F.format_string("v%03d", "id").alias("video_id"), (F.col("id") % 2).cast("string").alias("category"), F.format_string("s%d", F.col("id") % 50).alias("source"))
+    t = TargetSample(rows, spark.createDataFrame([(0, "a", 0.5, 1), (1, "b", 0.5, 1)], T))
+    assert len(t._cells) <= 12 and t.draw()[0].count() == 200

@@ -36,7 +36,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: cross_split.overlapping_pairs(table(s, d, "build_splits")),
     "p5_report": lambda s, d: cross_split.overlap_report(table(s, d, "build_splits")),
     "p6_found": lambda s, d: broken_pairs.broken_pairs(table(s, d, "val_outputs_all"), known=()),
-    "p7_found": lambda s, d: _sampler(s, d).report().where("not met").select("category_id"),
+    "p7_found": lambda s, d: _sampler(s, d).report().where("not reachable").select("category_id"),
     "p7_report": lambda s, d: _sampler(s, d).report(),
     "p7_sample": lambda s, d: _sampler(s, d).draw()[0],
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .clips import category_ids, clip_key
 
-REPORT = "category_id int, target_share double, need long, available long, taken long, actual_share double, gap long, met boolean"
+REPORT = "category_id int, target_share double, need long, available long, taken long, actual_share double, gap long, met boolean, reachable boolean"
 _STEPS = 64
+#: Sources beyond the most frequent ones share one margin, so that cells are at most categories times these and one.
+MAX_SOURCES, _REST = 1000, "\x00rest"
 
 
 def rake(counts: np.ndarray, margins: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
@@ -54,8 +56,8 @@ class TargetSample:
     """Draws ``share`` of the clips that have a category.
 
     Weights are raked over two margins, the target category shares and the shares the ``source``
-    values have among all clips, from the table of cell counts (categories x sources, small and
-    fixed); they give each cell the chance p of its clips. Every clip gets the key -ln(u) / w with u a hash
+    values have among all clips (the MAX_SOURCES most frequent each, the rest together), from the bounded table of
+    cell counts; they give each cell the chance p of its clips. Every clip gets the key -ln(u) / w with u a hash
     of its id and w = -ln(1 - p), so that keys below 1 come with chance p; the smallest keys are the draw. Then each category is brought up to its minimum, at the cost of the largest surpluses, again
     by smallest key. Keys are counted in logarithmic bins (a few thousand a category), so neither the
     draw nor a hot category is ever sorted in one task: only the bin where a quota ends is.
@@ -65,9 +67,11 @@ class TargetSample:
         self.spark = rows.sparkSession
         clips = category_ids(rows, targets)
         sources = rows.select("video_id", "source").distinct().select(clip_key("video_id").alias("clip"), F.coalesce("source", F.lit("")).alias("source")).where("clip is not null").groupBy("clip").agg(F.min("source").alias("source"))
-        self.clips = cut(clips.join(sources, "clip"))
+        named = cut(clips.join(sources, "clip"))
+        most = named.groupBy("source").count().orderBy(F.desc("count"), "source").limit(MAX_SOURCES).select("source", F.col("source").alias("margin"))
+        self.clips = named.join(F.broadcast(most), "source", "left").select("clip", "category_id", F.coalesce("margin", F.lit(_REST)).alias("source"))
         self.targets = {int(r["category_id"]): (float(r["target_share"]), int(r["min_videos"])) for r in targets.collect()}  # 20 rows
-        cells = self.clips.groupBy("category_id", "source").count().collect()  # categories x sources
+        cells = self.clips.groupBy("category_id", "source").count().collect()  # at most categories x (MAX_SOURCES + 1)
         self.available = {c: 0 for c in self.targets}
         for r in cells:
             self.available[r["category_id"]] += r["count"]
@@ -146,9 +150,9 @@ class TargetSample:
         return marked.where(F.col("n") >= F.col("count")).select("clip", "category_id").union(edge.select("clip", "category_id")), quota
 
     def report(self) -> DataFrame:
-        """One row a category: what it needs, has and got, and the gap that remains."""
+        """One row a category: what it needs, has and got, the gap that remains, whether it got what it needs, and whether it has as much."""
         binned = self._keyed().groupBy("category_id", "bin").count().collect()
         taken = self.plan(binned)
         total = max(sum(taken.values()), 1)
-        rows = [(c, t, self.need[c], self.available[c], taken[c], taken[c] / total, max(self.need[c] - taken[c], 0), self.available[c] >= self.need[c]) for c, (t, _) in sorted(self.targets.items())]
+        rows = [(c, t, self.need[c], self.available[c], taken[c], taken[c] / total, max(self.need[c] - taken[c], 0), taken[c] >= self.need[c], self.available[c] >= self.need[c]) for c, (t, _) in sorted(self.targets.items())]
         return self.spark.createDataFrame(rows, REPORT)

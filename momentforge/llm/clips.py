@@ -50,24 +50,26 @@ def source_key(video_id: Column, url: Column) -> Column:
 
 
 def clip_sources(ids: DataFrame, videos: DataFrame) -> DataFrame:
-    """(clip, source) of every clip named by ``ids.video_id``; one source per clip.
+    """(clip, source) of every clip named by ``ids.video_id``; a row for each source the clip has.
 
     The catalogue's spelling of an id counts before that of the records, as a key's letter case
-    matters. A clip with neither a cut's id nor a url is its own source.
+    matters; where several spellings of a clip, or several catalogue rows, have different keys, the clip belongs to
+    all of their sources. A clip with neither a cut's id nor a url is its own source.
     """
     seen = (
         ids.select("video_id").distinct()
-        .select(clip_key("video_id").alias("clip"), source_key(base_name("video_id"), F.lit(None).cast("string")).alias("key"))
-        .where("clip is not null")
-        .groupBy("clip").agg(F.max("key").alias("own_key"))
+        .select(clip_key("video_id").alias("clip"), source_key(base_name("video_id"), F.lit(None).cast("string")).alias("own_key"))
+        .where("clip is not null").distinct()
     )
     known = (
         videos.select(clip_key("video_id").alias("clip"), source_key(base_name("video_id"), F.col("url")).alias("key"))
-        .where("clip is not null")
-        .groupBy("clip").agg(F.max("key").alias("key"))
+        .where("clip is not null and key is not null").distinct()
     )
-    return seen.join(known, "clip", "left").select(
-        "clip", F.coalesce(F.concat(F.lit("key:"), F.coalesce("key", "own_key")), F.concat(F.lit("clip:"), F.col("clip"))).alias("source")
+    keyed = seen.join(known, "clip", "left").groupBy("clip", F.coalesce("key", "own_key").alias("key")).agg(F.lit(1))
+    named = keyed.groupBy("clip").agg(F.count("key").alias("keys"))
+    # spellings without a key add nothing to a clip that has one
+    return keyed.join(named, "clip").where("key is not null or keys = 0").select(
+        "clip", F.coalesce(F.concat(F.lit("key:"), F.col("key")), F.concat(F.lit("clip:"), F.col("clip"))).alias("source")
     )
 
 

@@ -95,3 +95,12 @@ def test_category_reading(spark):
     rows = spark.createDataFrame([(f"v{i}", c) for i, c in enumerate(["7", "7.0", " Pet  Antics ", "N/A", "unknown", "", None, "99", "7.5"])], "video_id string, category string")
     targets = spark.createDataFrame([(7, "lab demos"), (3, "pet antics")], "category_id int, category_name string")
     assert {r.clip: r.category_id for r in clips.category_ids(rows, targets).collect()} == {"v0": 7, "v1": 7, "v2": 3}
+
+
+def test_a_clip_with_two_sources_joins_them(spark):
+    from momentforge.llm.group_splits import clip_groups
+
+    rows = spark.createDataFrame([("one",), ("two",), ("both",), ("alone",)], "video_id string")
+    videos = spark.createDataFrame([("one", "https://x.org/watch?v=AAAAAAAAAAA"), ("two", "https://x.org/watch?v=BBBBBBBBBBB"), ("both", "https://x.org/watch?v=AAAAAAAAAAA"), ("BOTH", "https://x.org/watch?v=BBBBBBBBBBB")], "video_id string, url string")
+    label = {r.clip: r.label for r in clip_groups(rows, videos).collect()}
+    assert label["one"] == label["two"] == label["both"] != label["alone"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The metrics of the view by their name in the results.
+# The metrics and datasets of the view by their name in the results, metrics where less is better, and ms a second.
 METRICS = {"R@1": "R@1", "R@5": "R@5", "R@10": "R@10", "MRR": "MRR", "MedianRank": "MedR", "MedR": "MedR", "MeanRank": "MeanR", "MeanR": "MeanR", "R1@0.5": "R1@0.5", "R1@0.7": "R1@0.7", "mIoU": "mIoU"}
 DATASETS = {"MSVD": "MSVD", "MSRVTT": "MSR-VTT", "MSR-VTT": "MSR-VTT"}
 LOWER_IS_BETTER = ["MedR", "MeanR", "latency_ms"]
+MS = 1000.0
 
 
 def _lookup(names: dict[str, str], c: Column) -> Column:
@@ -21,8 +22,8 @@ def label(model: Column, variant: Column) -> Column:
 
 
 def enriched(rows: DataFrame, rules: list[dict]) -> DataFrame:
-    """``protocol`` and ``notes`` of the first rule of which all keys equal the row's, ignoring case;
-    empty without one. A rule is {"match": {column: value}, "protocol": .., "notes": ..}."""
+    """``protocol`` and ``notes``: the row's own where it has one, else of the first rule of which all keys equal the row's, ignoring
+    case; empty without one. A rule is {"match": {column: value}, "protocol": .., "notes": ..}."""
     def pick(field: str) -> Column:
         out = None
         for rule in rules:
@@ -32,14 +33,17 @@ def enriched(rows: DataFrame, rules: list[dict]) -> DataFrame:
             out = F.when(fits, rule.get(field, "")) if out is None else out.when(fits, rule.get(field, ""))
         return out.otherwise("") if out is not None else F.lit("")
 
-    return rows.withColumn("protocol", pick("protocol")).withColumn("notes", pick("notes"))
+    def own_or_rule(field: str) -> Column:
+        return F.coalesce(F.nullif(F.col(field), F.lit("")), pick(field)) if field in rows.columns else pick(field)
+
+    return rows.withColumns({"protocol": own_or_rule("protocol"), "notes": own_or_rule("notes")})
 
 
 def benchmark_view(results: DataFrame, rules: list[dict] | None = None, dataset: str | None = None, model: str | None = None) -> DataFrame:
     """(model, dataset, protocol, metric, value, notes): known metrics renamed, latency in ms, the rest dropped."""
     seconds = F.col("metric_name") == "avg_query_latency_sec"
     r = enriched(results, rules or []).withColumn("metric", F.when(seconds, "latency_ms").otherwise(_lookup(METRICS, F.col("metric_name")))).where("metric is not null")
-    value = F.round(F.when(seconds, F.col("metric_value") * 1000.0).otherwise(F.col("metric_value")), 6)
+    value = F.round(F.when(seconds, F.col("metric_value") * MS).otherwise(F.col("metric_value")), 6)
     out = r.select(label(F.col("model"), F.col("variant")).alias("model"), F.coalesce(_lookup(DATASETS, F.col("dataset")), F.col("dataset")).alias("dataset"), "protocol", "metric", value.alias("value"), "notes")
     if dataset:
         out = out.where(F.lower("dataset") == dataset.lower())
@@ -53,6 +57,13 @@ def wide(view: DataFrame, metrics: list[str], order: str) -> DataFrame:
     return view.groupBy("model", "dataset").pivot("metric", metrics).agg(F.max_by("value", order))
 
 
+def wide_with_notes(view: DataFrame, metrics: list[str], order: str) -> DataFrame:
+    """As ``wide``, with the first protocol and the first notes by ``order`` that are not empty."""
+    first = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col(order))), F.lit("")).alias(c)
+    told = view.groupBy("model", "dataset").agg(first("protocol"), first("notes"))
+    return told.join(wide(view, metrics, order), ["model", "dataset"])
+
+
 def best_marked(view: DataFrame) -> DataFrame:
     """The view with ``best``: the least value of a dataset's metric where lower is better, else the greatest."""
     w = Window.partitionBy("dataset", "metric")

@@ -124,9 +124,10 @@ def leaks(rows: DataFrame, examples: int = 5) -> DataFrame:
     return count.join(few, ["split_a", "split_b"]).select("split_a", "split_b", "videos", F.array_join("_e", ",").alias("examples"))
 
 
-def frames_from_video(rows: DataFrame, per_video: int = 1) -> DataFrame:
-    """Frame x caption pairs: one row a frame and caption."""
-    return rows.select("row_id", "video_id", "caption", F.explode("frame_paths").alias("frame"))
+def frames_from_video(rows: DataFrame, per_video: int | None = None) -> DataFrame:
+    """Frame x caption pairs: one row a caption and each of its first ``per_video`` frames, all of them by default."""
+    frames = F.col("frame_paths") if per_video is None else F.slice("frame_paths", 1, per_video)
+    return rows.select("row_id", "video_id", "caption", F.explode(frames).alias("frame"))
 
 
 def first_caption(rows: DataFrame, order: str = "row_id") -> DataFrame:

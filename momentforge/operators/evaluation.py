@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .search import _blocks
 
 
@@ -18,7 +19,7 @@ def truth_ranks(gallery: DataFrame, queries: DataFrame, item: str = "id", vector
     No gallery is sorted: the rank is 1 plus the items that score higher, or equal with a smaller id.
     Queries whose truth is not in the gallery are skipped. Each batch leaves one count a query.
     """
-    own = queries.join(gallery.select(F.col(item).alias(truth), F.col(vector).alias("_tv")), truth)
+    own = cut(queries.join(gallery.select(F.col(item).alias(truth), F.col(vector).alias("_tv")), truth))
     kinds = f"_q bigint, {query} {queries.schema[query].dataType.simpleString()}, {truth} {gallery.schema[item].dataType.simpleString()}, score double"
     out = None
     for block in _blocks(own, query, vector, [truth, "_tv"]):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import path_exists
 
 PROBE = "path string, duration double, width int, height int, has_video boolean"
 
@@ -136,9 +137,7 @@ def tagged(rows: DataFrame, tagger: str, text: str = "caption") -> DataFrame:
 
 def ensure_table(spark: SparkSession, path: str, schema: str) -> bool:
     """Writes an empty table unless there is one; whether it was made."""
-    try:
-        spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        spark.createDataFrame([], schema).write.parquet(path)
-        return True
-    return False
+    if path_exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    return True

@@ -14,19 +14,39 @@ SPAN = "struct<start:double,end:double,score:double>"
 def frames(windows: DataFrame) -> DataFrame:
     """(video_id, t, feature): the frames of all windows of a video in time order; a frame within a
     thousandth of a second of the one before goes. ``windows`` is (window_id, video_id, frame_times, frame_features)."""
-    one = windows.where("frame_features is not null and frame_times is not null").select(
+    return _apart(_each_frame(windows))
+
+
+def _each_frame(windows: DataFrame) -> DataFrame:
+    return windows.where("frame_features is not null and frame_times is not null").select(
         "video_id", "window_id", F.posexplode(F.arrays_zip("frame_times", "frame_features")).alias("i", "x")
     ).select("video_id", "window_id", "i", F.col("x.frame_times").cast("double").alias("t"), F.col("x.frame_features").alias("feature")).where("t is not null and feature is not null")
+
+
+def _apart(one: DataFrame) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy("t", "window_id", "i")
     before = F.lag("t").over(w)
     return one.withColumn("_d", F.col("t") - before).where("_d is null or _d > 0.001").drop("_d")
 
 
+def _similarity(query: list[float]) -> Column:
+    return F.round(V.dot(V.unit(F.col("feature")), F.array(*[F.lit(float(x)) for x in query])), 9).alias("similarity")
+
+
+def frame_saliency(windows: DataFrame, query: list[float]) -> DataFrame:
+    """``saliency(frames(windows), query)`` with the similarities computed first, so that a frame crosses the exchange of its
+    video as two numbers and not as a feature."""
+    near = _each_frame(windows).select("video_id", "window_id", "i", "t", _similarity(query))
+    return _stretched(_apart(near).select("video_id", "t", "similarity"), "video_id")
+
+
 def saliency(frames_: DataFrame, query: list[float], key: str = "video_id") -> DataFrame:
     """(key, t, similarity, saliency): similarity of each frame to the query, smoothed with (1/4, 1/2, 1/4)
     and zeros beyond the ends, stretched to 0..1 per series; all ones where a series is flat."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    s = frames_.select(key, "t", F.round(V.dot(V.unit(F.col("feature")), q), 9).alias("similarity"))
+    return _stretched(frames_.select(key, "t", _similarity(query)), key)
+
+
+def _stretched(s: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("t")
     smooth = 0.25 * F.lag("similarity", 1, 0.0).over(w) + 0.5 * F.col("similarity") + 0.25 * F.lead("similarity", 1, 0.0).over(w)
     s = s.withColumn("_s", smooth)
@@ -135,7 +155,7 @@ def best_time(series: DataFrame, key: str = "video_id") -> DataFrame:
 
 def localized(windows: DataFrame, query: list[float], durations: DataFrame) -> DataFrame:
     """(video_id, spans, strip): cleaned spans and the saliency strip of every video that has frames."""
-    series = saliency(frames(windows), query)
+    series = frame_saliency(windows, query)
     spans = islands(series).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("spans"))
     curve = series.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "saliency"))).alias("c"))
     d = F.col("duration")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import cut as written
 
 #: A block of queries that is sent to every task: at most this many vectors.
 MAX_BLOCK = 4096
@@ -39,6 +40,7 @@ def _blocks(queries: DataFrame, query: str, vector: str, extra: list[str]) -> It
     """The queries in blocks of at most MAX_BLOCK vectors; one empty block when there are none."""
     rows = queries.select(query, vector, *extra)
     n = -(-rows.count() * 5 // (4 * MAX_BLOCK))  # hashed blocks vary in size
+    rows = written(rows) if n > 1 else rows  # else what the queries come from runs again for every block
     for b in range(max(n, 1)):
         got = rows.where(F.pmod(F.xxhash64(query), F.lit(max(n, 1))) == b).limit(MAX_BLOCK + 1).collect()
         if len(got) > MAX_BLOCK:
@@ -120,10 +122,37 @@ def search_moments(
     return dense_rank_of(fused, "score", "video_id", k)
 
 
-def attach_videos(hits: DataFrame, videos: DataFrame) -> DataFrame:
-    """Hits with their video's row; hits without one go and the ranks close up."""
-    found = hits.drop("rank").join(videos, "video_id")
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "video_id")))
+def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows with their place in a total order: sorted ranges are numbered each and begin after those before, so no
+    task sees all rows."""
+    ranges = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
+
+
+def attach_videos(hits: DataFrame, videos: DataFrame, most: int | None = None) -> DataFrame:
+    """Hits with their video's row; hits without one go and the ranks close up. ``most`` says how many hits there can be
+    where these are a page of results, else any number is ranked."""
+    found, order = hits.drop("rank").join(videos, "video_id"), [F.desc("score"), F.col("video_id")]
+    if most is None:
+        return numbered(found, order)
+    return found.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def with_features(pool: DataFrame, features: DataFrame) -> DataFrame:
+    """The pool with each window's (features, times) of the feature store, null for windows it does not have."""
+    return pool.join(features.select("window_id", "features", "times"), "window_id", "left")
+
+
+def with_times(hits: DataFrame, times: DataFrame) -> DataFrame:
+    """Hits (video_id, score) with ``timestamps`` and the middle one of them, ``best_timestamp``; empty and 0 without.
+    ``times`` is (video_id, timestamps ARRAY)."""
+    t = F.coalesce("timestamps", F.array().cast("array<double>"))
+    middle = F.coalesce(F.get(t, F.floor(F.size(t) / 2).cast("int")), F.lit(0.0))
+    return hits.join(times, "video_id", "left").withColumns({"timestamps": t, "best_timestamp": middle})
 
 
 def first_with_caption(videos: DataFrame, query: str) -> DataFrame:

@@ -88,6 +88,11 @@ def media_shapes(videos: DataFrame) -> DataFrame:
     return videos.groupBy(aspect(F.col("width"), F.col("height")).alias("aspect"), r.alias("resolution")).agg(F.count("*").alias("videos"))
 
 
+def codec_counts(probes: DataFrame) -> DataFrame:
+    """(codec, videos) of probed files (codec), most frequent first in the order of counts; null is no codec."""
+    return probes.where("codec is not null").groupBy("codec").agg(F.count("*").alias("videos"))
+
+
 def mean_vector(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     """(by, i, mean): element-wise means, one row an element."""
     return df.select(*by, F.posexplode(vector).alias("i", "x")).groupBy(*by, "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

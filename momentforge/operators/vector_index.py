@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +15,15 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
+def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of every key by ``order``: duplicates dropped in a stated order."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order)))).where("_r = 1").drop("_r")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of or beside its own; of a key repeated in ``new`` the last."""
-    fresh = last_per_key(new, key, order) if order else new.dropDuplicates([key])
+    """``old`` with the rows of ``new`` in place of or beside its own; of a key repeated in ``new`` the last, by the
+    column ``order``, else by the place in ``new`` (that of a local table or of one file; several files need ``order``)."""
+    fresh = last_per_key(new, key, order) if order else last_per_key(new.withColumn("_o", F.monotonically_increasing_id()), key, "_o").drop("_o")
     return old.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*old.columns))
 
 
@@ -73,50 +81,82 @@ def index_counts(vectors: DataFrame) -> DataFrame:
     return c.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("collection_id", "n")))).alias("collections"))
 
 
+# The collections that a new catalogue has.
+DEFAULT_COLLECTIONS = [
+    ("msrvtt-1ka", "MSR-VTT 1k-A", "Clips from the MSR-VTT 1k-A test set."),
+    ("msvd-test", "MSVD test", "Clips from the MSVD test split."),
+    ("uploads", "Your uploads", "Videos uploaded through this site."),
+]
+
+
+def with_default_collections(collections: DataFrame) -> DataFrame:
+    """(id, name, description) with the default collections that are missing; those that are there stay as they are."""
+    default = collections.sparkSession.createDataFrame(DEFAULT_COLLECTIONS, "id string, name string, description string")
+    return collections.select("id", "name", "description").unionByName(default.join(collections.select("id"), "id", "left_anti"))
+
+
 class VectorIndex:
-    """Versions of (id, vector, video_id, start_sec, end_sec) below ``path``; a one-row pointer table names the
-    current one, so readers of an older version are never disturbed and a lost write is never seen."""
+    """Versions of (id, vector, video_id, start_sec, end_sec) below ``path``. Pointers are numbered empty files
+    ``<n>.<version>`` and claims ``<n>``; a writer claims the number after the one it has read, which only one can create, and begins
+    again from the newer version if another was faster, so no update is lost. Older versions stay for their readers."""
 
     SCHEMA = "id string, vector array<float>, video_id string, start_sec double, end_sec double"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _pointers(self) -> tuple[object, object]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/current")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> tuple[int, str | None]:
+        """(number, version) of the newest pointer; (0, None) before the first."""
+        folder, fs = self._pointers()
+        if not fs.exists(folder):
+            return 0, None
+        names = [s.getPath().getName().partition(".") for s in fs.listStatus(folder)]
+        return max(((int(n), version) for n, _, version in names if version), default=(0, None))
+
     def _version(self) -> str | None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path + "/current")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        names = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(p))
-        return names[-1][1] if names else None
-
-    def _point(self, name: str) -> None:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path + "/current")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._current()[1]
+
+    def _claim(self, number: int) -> bool:
+        """Whether this writer is the one that may make pointer ``number``."""
+        folder, fs = self._pointers()
         fs.mkdirs(folder)
-        old = [s.getPath() for s in fs.listStatus(folder)]
-        fs.create(jvm.org.apache.hadoop.fs.Path(folder, name)).close()
-        for p in old:
-            fs.delete(p, False)
+        return bool(fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(number))))
+
+    def _point(self, number: int, version: str) -> None:
+        folder, fs = self._pointers()
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number}.{version}"), False).close()
 
     def rows(self) -> DataFrame:
-        v = self._version()
-        if v is None:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{v}")
+        return self._rows_of(self._version())
 
-    def _write(self, rows: DataFrame) -> None:
-        name = "v" + uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{name}")
-        self._point(name)
+    def _rows_of(self, version: str | None) -> DataFrame:
+        if version is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{version}")
+
+    def _write(self, change: Callable[[DataFrame], DataFrame], attempts: int = 20) -> None:
+        """Writes the current rows after ``change`` as the next version; again from the newer one if another writer was first."""
+        for _ in range(attempts):
+            number, version = self._current()
+            name = "v" + uuid.uuid4().hex
+            change(self._rows_of(version)).write.parquet(f"{self.path}/{name}")
+            if self._claim(number + 1):
+                self._point(number + 1, name)
+                return
+            folder, fs = self._pointers()
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+            time.sleep(0.1)
+        raise RuntimeError("other writers were faster each time, or one ended between its claim and its pointer")
 
     def upsert(self, new: DataFrame, order: str | None = None) -> None:
-        self._write(upserted(self.rows(), new, "id", order))
+        self._write(lambda old: upserted(old, new, "id", order))
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(deleted(self.rows(), ids))
+        self._write(lambda old: deleted(old, ids))
 
     def count(self) -> int:
         return self.rows().count()
@@ -145,15 +185,24 @@ class FeatureStore:
 
     def put(self, model_id: str, rows: DataFrame) -> None:
         m = self._model(model_id)
-        m._write(upserted(m.rows(), rows, "window_id"))
+        m._write(lambda old: upserted(old, rows, "window_id"))
 
     def get_many(self, model_id: str, ids: DataFrame) -> DataFrame:
         return self._model(model_id).rows().join(ids, "window_id", "left_semi")
 
     def delete(self, model_id: str, ids: DataFrame) -> None:
         m = self._model(model_id)
-        m._write(deleted(m.rows(), ids, "window_id"))
+        m._write(lambda old: deleted(old, ids, "window_id"))
 
     def drop_model(self, model_id: str) -> None:
         m = self._model(model_id)
-        m._write(self.spark.createDataFrame([], self.SCHEMA))
+        m._write(lambda old: self.spark.createDataFrame([], self.SCHEMA))
+
+
+def get_index(spark: SparkSession, root: str, model_id: str, collection_id: str, backend: str = "parquet") -> VectorIndex:
+    """The index of a model and collection by backend; other stores are seams that raise, unknown names are errors."""
+    if backend == "parquet":
+        return VectorIndex(spark, f"{root.rstrip('/')}/{model_id}/{collection_id}")
+    if backend in ("chroma", "pinecone"):
+        raise NotImplementedError(f"{backend}: bring a client with upsert, delete, count and search")
+    raise ValueError(f"unknown index backend: {backend}")

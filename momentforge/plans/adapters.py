@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import vector as V
 from ..functions.text import search_tokens
+from ..operators.localize import localized
 
 
 @runtime_checkable
@@ -28,7 +29,9 @@ class Adapter(Protocol):
 
     def load(self) -> None: ...
     def encode_text(self, texts: list[str]) -> list[list[float]]: ...
+    def encode_window(self, windows: DataFrame) -> DataFrame: ...
     def rerank(self, query: list[float], pool: DataFrame) -> DataFrame: ...
+    def localize(self, query: list[float], windows: DataFrame, durations: DataFrame) -> DataFrame: ...
     def fuse(self, stage1: Column, rerank: Column) -> Column: ...
 
 
@@ -50,6 +53,17 @@ class HashAdapter:
         d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
         return [list(r[1]) for r in d.select("i", V.hash_embedding(search_tokens("t"), self.embedding_dim)).orderBy("i").collect()]
 
+    def encode_window(self, windows: DataFrame) -> DataFrame:
+        """(window_id, vector, features, times) of windows (window_id, frame_times, frame_features): the mean of the frames'
+        unit vectors, brought to length 1; null without frames."""
+        units = F.transform("frame_features", V.unit)
+        total = F.aggregate(units, F.array_repeat(F.lit(0.0), self.embedding_dim), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+        return windows.select("window_id", F.when(F.size("frame_features") > 0, V.unit(total)).alias("vector"), F.col("frame_features").alias("features"), F.col("frame_times").alias("times"))
+
+    def localize(self, query: list[float], windows: DataFrame, durations: DataFrame) -> DataFrame:
+        """(video_id, spans, strip) from the frames of the windows."""
+        return localized(windows, query, durations)
+
     def rerank(self, query: list[float], pool: DataFrame) -> DataFrame:
         key = F.lit(",".join(f"{x:.6f}" for x in query[:8]))
         return pool.withColumn("rerank", V.jittered(F.col("stage1"), key, F.col("window_id")))
@@ -76,6 +90,9 @@ class TwoStageAdapter(HashAdapter):
     def encode_text(self, texts: list[str]) -> list[list[float]]:
         raise NotImplementedError("bring an encoder")
 
+    def encode_window(self, windows: DataFrame) -> DataFrame:
+        raise NotImplementedError("bring an encoder")
+
     def rerank(self, query: list[float], pool: DataFrame) -> DataFrame:
         raise NotImplementedError("bring a re-ranker")
 

@@ -240,6 +240,32 @@ def _(s, d):
     return search.search_moments(moments(s, d), query_vector(s, d), 10).drop("rerank")
 
 
+@query("search_moments_compat", f"""with h as (select printf('v%05d_w%03d', e.vec_id // 5, e.vec_id % 5) as window_id, printf('v%05d', e.vec_id // 5) as video_id, ((e.vec_id % 5) * 5)::double as start_sec, ((e.vec_id % 5) * 5 + 10)::double as end_sec, {_DOT} as stage1 from embeddings e, {_Q0}),
+    c as (select * from h order by stage1 desc, window_id limit 50), g as (select * from (select *, row_number() over (partition by video_id order by stage1 desc, window_id) as r from c) where r = 1 order by stage1 desc, window_id limit 10)
+    select video_id, window_id, start_sec, end_sec, stage1, round(least(greatest((stage1 - 0.15) / 0.25, 0.0), 1.0), 6) as score, cast(row_number() over (order by round(least(greatest((stage1 - 0.15) / 0.25, 0.0), 1.0), 6) desc, video_id) as integer) as rank from g""")
+def _(s, d):
+    return search.search_moments(moments(s, d), query_vector(s, d), 10, mode="compat").drop("rerank")
+
+
+@query("search_pool_features", """with p as (select distinct window_id from base where window_id is not null), f as (select window_id, any_value(len(frame_features)) as frames, any_value(len(frame_times)) as times from base where frame_features is not null and frame_times is not null and window_id is not null group by 1)
+    select p.window_id, f.frames, f.times from p left join f on p.window_id = f.window_id""")
+def _(s, d):
+    b = table(s, d, "base").where("window_id is not null")
+    store = b.where("frame_features is not null and frame_times is not null").select("window_id", F.col("frame_features").alias("features"), F.col("frame_times").alias("times")).dropDuplicates(["window_id"])
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("bigint"))
+    return search.with_features(b.select("window_id").distinct(), store).select("window_id", size("features").alias("frames"), size("times").alias("times"))
+
+
+@query("search_best_times", """with h as (select video_id, max(stage1_score) as score from base where video_id is not null and stage1_score is not null and not isnan(stage1_score) group by 1),
+    t as (select video_id, list(distinct start_sec order by start_sec) as ts from base where video_id is not null and start_sec is not null and start_sec > 0 group by 1)
+    select h.video_id, h.score, coalesce(len(t.ts), 0) as stamps, coalesce(t.ts[len(t.ts) // 2 + 1], 0.0) as best_timestamp from h left join t on h.video_id = t.video_id""")
+def _(s, d):
+    b = table(s, d, "base").where("video_id is not null")
+    hits = b.where("stage1_score is not null and not isnan(stage1_score)").groupBy("video_id").agg(F.max("stage1_score").alias("score"))
+    times = b.where("start_sec > 0").groupBy("video_id").agg(F.array_sort(F.collect_set("start_sec")).alias("timestamps"))
+    return search.with_times(hits, times).select("video_id", "score", F.size("timestamps").cast("bigint").alias("stamps"), "best_timestamp")
+
+
 _JIT = "((('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2))::bigint % 10000) * 7296 + ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint) % 10000"
 
 
@@ -445,7 +471,7 @@ def _framed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _curve(s: SparkSession, d: str) -> DataFrame:
-    return localize.saliency(localize.frames(_framed(s, d)), query_vector(s, d))
+    return localize.frame_saliency(_framed(s, d), query_vector(s, d))
 
 
 _FRAMES = f"""f as (select window_id, video_id, any_value(frame_times) as ft, any_value(frame_features) as ff from base where video_id is not null and window_id is not null and frame_times is not null and {_SOUND} group by 1, 2),
@@ -695,6 +721,14 @@ def _(s, d):
     return vector_index.upserted(g, g.where("id % 3 = 0").withColumn("label", F.col("label") + 100))
 
 
+@query("index_upsert_repeated", """with n as (select vec_id as id, label + 100 * k as label, k from embeddings, (select unnest([1, 2, 3]) as k) where vec_id % 3 = 0 and (k < 3 or vec_id % 2 = 0)), l as (select id, arg_max(label, k) as label from n group by 1)
+    select id, label from l union all select vec_id as id, label from embeddings where vec_id % 3 <> 0""")
+def _(s, d):
+    g = gallery(s, d).select("id", "label")
+    new = g.where("id % 3 = 0").withColumn("k", F.explode(F.array(*map(F.lit, (3, 1, 2))))).where("k < 3 or id % 2 = 0").withColumn("label", F.col("label") + 100 * F.col("k"))
+    return vector_index.upserted(g, new, order="k")
+
+
 @query("index_delete", "select vec_id as id from embeddings where vec_id % 4 <> 0")
 def _(s, d):
     g = gallery(s, d).select("id")
@@ -756,6 +790,28 @@ def _(s, d):
     return benchmarks.benchmark_view(_results(s), RULES)
 
 
+OWN_ROWS = [("zero_shot", "MSVD", "R@1", 0.33, "own", ""), ("zero_shot", "MSVD", "MRR", 0.4, "", "one run"), ("fine_tuned", "MSVD", "R@1", 0.36, None, None), ("fine_tuned", "MSRVTT", "R@1", 0.34, "", "")]
+_OWN = "o as (select * from (values " + ", ".join(f"({i}, '{v}', '{x}', '{m}', {y}::double, {'null' if p is None else repr(p)}, {'null' if n is None else repr(n)})" for i, (v, x, m, y, p, n) in enumerate(OWN_ROWS)) + """) t(ordinal, variant, dataset, metric, value, own_protocol, own_notes)),
+    v as (select ordinal, 'CLIP (' || replace(variant, '_', '-') || ')' as model, replace(dataset, 'MSRVTT', 'MSR-VTT') as dataset, metric, value, coalesce(nullif(own_protocol, ''), case when dataset = 'MSVD' then 'all captions' else 'one caption' end) as protocol, coalesce(nullif(own_notes, ''), case when dataset = 'MSVD' then '8 frames' else '' end) as notes from o)"""
+
+
+def _own_results(s: SparkSession) -> DataFrame:
+    rows = [(i, "CLIP", *r) for i, r in enumerate(OWN_ROWS)]
+    return s.createDataFrame(rows, "ordinal int, model string, variant string, dataset string, metric_name string, metric_value double, protocol string, notes string")
+
+
+@query("bench_own_notes", f"with {_OWN} select model, dataset, protocol, metric, value, notes from v")
+def _(s, d):
+    return benchmarks.benchmark_view(_own_results(s), RULES)
+
+
+@query("bench_wide_notes", f"""with {_OWN} select model, dataset, coalesce(arg_min(protocol, ordinal) filter (protocol <> ''), '') as protocol, coalesce(arg_min(notes, ordinal) filter (notes <> ''), '') as notes, max(case when metric = 'R@1' then value end) as "R@1", max(case when metric = 'MRR' then value end) as MRR from v group by 1, 2""")
+def _(s, d):
+    view = benchmarks.benchmark_view(_own_results(s), RULES)
+    places = s.createDataFrame([("CLIP (zero-shot)", "MSVD", "R@1", 0), ("CLIP (zero-shot)", "MSVD", "MRR", 1), ("CLIP (fine-tuned)", "MSVD", "R@1", 2), ("CLIP (fine-tuned)", "MSR-VTT", "R@1", 3)], "model string, dataset string, metric string, o int")
+    return benchmarks.wide_with_notes(view.join(places, ["model", "dataset", "metric"]), ["R@1", "MRR"], "o")
+
+
 @query("bench_best", f"with {_VIEW} select model, dataset, metric, value, value = case when metric in ('MedR', 'MeanR', 'latency_ms') then min(value) over (partition by dataset, metric) else max(value) over (partition by dataset, metric) end as best from v where metric is not null")
 def _(s, d):
     return benchmarks.best_marked(benchmarks.benchmark_view(_results(s), RULES)).select("model", "dataset", "metric", "value", "best")
@@ -778,6 +834,13 @@ def _(s, d):
     return jobs.windowed_latency(e).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "n")
 
 
+@query("stream_latency_quantiles", """with e as (select time_bucket(interval '5 minutes', ts) as window_start, event_type as model, value, row_number() over (partition by time_bucket(interval '5 minutes', ts), event_type order by value) as r, count(*) over (partition by time_bucket(interval '5 minutes', ts), event_type) as n from events where value is not null)
+    select window_start, model, n, min(value) filter (r >= 0.5 * n) as p50, min(value) filter (r >= 0.95 * n) as p95 from e group by 1, 2, 3""")
+def _(s, d):
+    e = table(s, d, "events").where("value is not null").select("ts", F.col("event_type").alias("model"), F.col("value").alias("ms"))
+    return jobs.windowed_latency(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_sessions", """
     with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) >= interval '30 minutes' then 1 when lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
     g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as g from o) select user_id, min(ts) as start_ts, max(ts) + interval '30 minutes' as end_ts, count(*) as n from g group by user_id, g""")

@@ -37,6 +37,37 @@ def _own_dir() -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder is at ``path``, on whatever file system its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+_made: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes the tables that this process wrote to cut lineage, once the results that read them are written;
+    the number of folders removed. On a clean end of the process it is called for its sessions."""
+    done = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        done += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return done
+
+
+def _clean_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            clean_up(spark)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            return
+
+
+atexit.register(_clean_at_end)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that all executors see: below ``spark.checkpoint.dir`` where the session
     names it, else, for a local master only, a temporary folder that goes with the process."""
@@ -45,7 +76,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_dir()
-    return f"{base.rstrip('/')}/mf-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/mf-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+import warnings
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..session import path_exists
+
 FULL = "videos array<struct<video_id:string,category:int,url:string,split:string,`start time`:double,`end time`:double>>, sentences array<struct<video_id:string,caption:string>>"
 LISTED = "video_id string, clip_name string, video string, caption string, category string"
 CAPTIONS = "video_id string, caption string, source string, category string, split_hint string"
@@ -17,18 +21,36 @@ RESULTS = "model string, variant string, dataset string, metric_name string, met
 VIDEO_SUFFIXES = [".mp4", ".avi", ".mkv"]
 
 
+def _there(path: str) -> bool:
+    """As ``session.path_exists`` where a session runs; a local look before there is one."""
+    spark = SparkSession.getActiveSession()
+    return path_exists(spark, path) if spark is not None else os.path.exists(path)
+
+
 def existing(*paths: str) -> list[str]:
-    """The paths that are there; a missing file is skipped."""
-    return [p for p in paths if os.path.exists(p)]
+    """The paths that are there; a missing file is skipped with a warning."""
+    found = []
+    for p in paths:
+        if _there(p):
+            found.append(p)
+        else:
+            warnings.warn(f"{p} is missing and was skipped", stacklevel=2)
+    return found
 
 
 def first_existing(folder: str, name: str) -> str | None:
-    """``name`` in the folder, in its parent, or anywhere below, in this order."""
-    base = Path(folder)
-    for p in (base / name, base.parent / name):
-        if p.exists():
-            return str(p)
-    return next((str(p) for p in sorted(base.rglob(name))), None) if base.exists() else None
+    """``name`` in the folder, in its parent, or anywhere below, in this order; on any file system Spark reads."""
+    base = folder.rstrip("/")
+    for p in (f"{base}/{name}", f"{base.rsplit('/', 1)[0]}/{name}"):
+        if _there(p):
+            return p
+    if not _there(base):
+        return None
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return next((str(p) for p in sorted(Path(folder).rglob(name))), None)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(base).select(F.min("path")).first()[0]
+    return files if files is None or ":" in base.split("/", 1)[0] else re.sub(r"^file:/*", "/", files)
 
 
 def one_or_many(c: Column) -> Column:
@@ -55,8 +77,9 @@ def scan_listed_annotations(spark: SparkSession, paths: list[str], source: str,
 
 
 def scan_splits(spark: SparkSession, files: dict[str, str], source: str = "MSVD") -> DataFrame:
-    """The union of one list file a split; missing files are skipped."""
-    parts = [scan_listed_annotations(spark, [p], source, split) for split, p in files.items() if os.path.exists(p)]
+    """The union of one list file a split; missing files are skipped with a warning. Paths may have any scheme."""
+    there = set(existing(*files.values()))
+    parts = [scan_listed_annotations(spark, [p], source, split) for split, p in files.items() if p in there]
     if not parts:
         return spark.createDataFrame([], CAPTIONS)
     out = parts[0]
@@ -66,9 +89,11 @@ def scan_splits(spark: SparkSession, files: dict[str, str], source: str = "MSVD"
 
 
 def annotation_videos(rows: DataFrame) -> DataFrame:
-    """(video_id, captions): one row a video, captions stripped, blank ones out, in row order."""
+    """(video_id, captions): one row a video, captions stripped, blank ones out, in row order, or by a column
+    ``ordinal`` where the rows have one, as rows of several files have no order of their own."""
     t = F.regexp_replace("caption", r"(?U)^\s+|\s+$", "")
-    numbered = rows.select("video_id", t.alias("caption"), F.monotonically_increasing_id().alias("_i")).where("caption <> ''")
+    order = F.col("ordinal") if "ordinal" in rows.columns else F.monotonically_increasing_id()
+    numbered = rows.select("video_id", t.alias("caption"), order.alias("_i")).where("caption <> ''")
     return numbered.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "caption"))), lambda x: x["caption"]).alias("captions"))
 
 
@@ -120,7 +145,10 @@ def scan_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
 def scan_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """One row a video id; blank ids go, of a repeated id the last row counts."""
     schema = "video_id string, title string, collection string, source string, license string, captions string"
-    d = spark.read.schema(schema).option("header", True).csv(path).withColumn("_i", F.monotonically_increasing_id()).where("trim(video_id) <> ''")
+    d = spark.read.schema(schema).option("header", True).csv(path)
+    # a row's place: its file by name, its part of the file, its number within the part
+    place = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    d = d.withColumn("_i", place).where("trim(video_id) <> ''")
     return d.groupBy("video_id").agg(F.max_by(F.struct("title", "collection", "source", "license", "captions"), "_i").alias("x")).select("video_id", "x.*")
 
 
@@ -163,8 +191,6 @@ def preview_jsonl(spark: SparkSession, path: str, n: int = 5, schema: str | S.St
 
 def load_config(path: str) -> dict:
     """A YAML file with ${NAME} and ${NAME:-default} taken from the environment."""
-    import re
-
     import yaml
 
     def put(m: re.Match) -> str:

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 
 def write_stage(df: DataFrame, path: str, by: str | None = None) -> None:
     """A stage's Parquet table, replaced as a whole, in folders of ``by`` on request."""
@@ -42,12 +44,11 @@ def query_log(rows: DataFrame) -> DataFrame:
 
 
 def only_new(rows: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows whose key the table at ``path`` does not have; all of them while there is none."""
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-    except Exception:  # noqa: BLE001 - no table yet
+    """Rows whose key the table at ``path`` does not have; all of them while there is none. A table that cannot be read
+    raises, as all rows would be appended again."""
+    if not path_exists(spark, path):
         return rows
-    return rows.join(done, key, "left_anti")
+    return rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
 
 
 def upsert_in_batches(rows: DataFrame, send, size: int = 100) -> None:

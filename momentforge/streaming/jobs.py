@@ -91,11 +91,12 @@ def once_per_id(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return as_events(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def into_index(vectors: DataFrame, path: str, checkpoint: str):
-    """Upserts every micro-batch into the vector index: redelivered batches change nothing."""
+def into_index(vectors: DataFrame, path: str, checkpoint: str, order: str | None = None):
+    """Upserts every micro-batch into the vector index: redelivered batches change nothing. Of an id repeated in
+    a batch the last row by ``order`` stays, else the last of the batch."""
     def put(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            VectorIndex(batch.sparkSession, path).upsert(batch)
+            VectorIndex(batch.sparkSession, path).upsert(batch, order)
 
     return vectors.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

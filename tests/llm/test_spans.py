@@ -103,3 +103,22 @@ def test_default_batches_reach_compaction(spark, monkeypatch):
     d = spark.createDataFrame(rows, S)
     assert {r.doc_id for r in sharing_documents(d).collect()} == want and done == [1]
     assert {r.doc_id: r.shared_chars for r in shared_parts(d).collect()} == covered and done == [1, 1]
+
+
+def test_an_index_is_opened_again_by_a_later_process(spark, tmp_path):
+    import pytest
+
+    rows = made()
+    d = spark.createDataFrame(rows, S).where("length(text) >= 160").select("text", F.col("doc_id").alias("text_id"))
+    once = {r.h for r in SpanIndex(spark).add(d).collect()}
+    root, seen = f"file://{tmp_path}/index", set()
+    for b in range(3):  # each time a new object that knows only the folder
+        seen |= {r.h for r in SpanIndex(spark, max_runs=2, root=root).add(d.where(F.col("text_id") % 3 == b)).collect()}
+    again = SpanIndex(spark, root=root)
+    assert seen == once and 1 <= len(again.runs) <= 2 and again.entries().select("text_id").distinct().count() == d.count()
+    with pytest.raises(ValueError):
+        SpanIndex(spark, span=200, root=root)
+    behind = SpanIndex(spark, root=root)
+    again.add(d.limit(1))
+    with pytest.raises(RuntimeError):
+        behind.add(d.limit(1))

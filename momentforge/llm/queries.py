@@ -58,7 +58,22 @@ _FIELDS = """case when attrs is not null then array_to_string(list_transform(lis
 _P2 = f"""with r as (select row_id, {_CLIP.format(c='video_id')} as clip, lower(regexp_replace(caption, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as txt, {_FIELDS} as fields from build_splits where caption is not null),
         g as (select *, min(row_id) over (partition by clip, txt, fields) as first_row_id from r where txt <> '')"""
 
+_P5 = f"""with r as (select row_id, {_SPLIT} as sp, source, list_distinct(regexp_extract_all(lower(caption), '[\\p{{L}}\\p{{N}}]+')) as w from build_splits where caption is not null),
+        k as (select * from r where sp is not null and len(w) >= 8),
+        j as (select a.row_id as t, b.row_id as e, b.sp as split, b.source, len(list_intersect(a.w, b.w)) as n, len(a.w) + len(b.w) as m from k a, k b where a.sp = 'train' and b.sp <> 'train' and len(a.w) >= 0.75 * len(b.w) and len(b.w) >= 0.75 * len(a.w)),
+        o as (select * from j where n >= 0.75 * (m - n) - 1e-9)"""
+_FINE = "len({r}) = 64 and len(list_filter({r}, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+_P4 = f"""with b as (select window_id, embedding as e, frame_features as f from base where window_id is not null),
+        s as (select window_id, case when {_FINE.format(r='e')} and len(list_filter(e, lambda x: x <> 0)) > 0 then e end as e,
+              case when len(f) > 0 and len(list_filter(f, lambda r: not coalesce({_FINE.format(r='r')}, false))) = 0 then list_transform(range(1, 65), lambda i: list_sum(list_transform(f, lambda r: r[i]::double))::float) end as m from b),
+        u as (select window_id, any_value(coalesce(e, case when len(list_filter(m, lambda x: x <> 0)) > 0 then m end))::double[] as v from s where e is not null or len(list_filter(m, lambda x: x <> 0)) > 0 group by 1),
+        c as (select a.window_id as x, b.window_id as y, round(list_cosine_similarity(a.v, b.v), 12) as c from u a, u b where a.window_id <> b.window_id),
+        t as (select *, row_number() over (partition by x order by c desc, y) as r from c)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"{_P4} select distinct least(x, y) as window_id_a, greatest(x, y) as window_id_b from t where r <= 5 and c >= 0.9",
+    "p5_found": f"{_P5} select least(t, e) as row_id_a, greatest(t, e) as row_id_b from o",
+    "p5_report": f"{_P5} select split, source, count(*) as pairs, count(distinct e) as eval_rows from o group by 1, 2",
     "p1_found": f"""
         with r as (select row_id, {_CLIP.format(c='video_id')} as clip, {_SPLIT} as sp, {_KEY.format(b=_BASE.format(c='video_id'), u="''")} as own from build_splits),
         v as (select {_CLIP.format(c='video_id')} as clip, max({_KEY.format(b=_BASE.format(c='video_id'), u="coalesce(url, '')")}) as k from videos group by 1),

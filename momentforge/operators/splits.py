@@ -70,15 +70,16 @@ def capped_per_source(rows: DataFrame, source: str, key: str, most: int, seed: i
 def equal_source_draws(rows: DataFrame, source: str, key: str, draws: int, seed: int = 42) -> DataFrame:
     """(draw, source, key): draws with replacement, every source equally likely and every row of it too.
 
-    A draw hashes to a source number and a row number; rows are numbered in hash order per source.
+    A draw hashes (MD5, so that SQL engines agree) to a source number and a row number; rows are numbered in hash order per source.
     """
     numbered = _ranked(rows.select(source, key), [source], _order(seed, key))
     sources = numbered.groupBy(source).agg(F.max("size").alias("size")).withColumn("_s", F.row_number().over(Window.orderBy(source)) - 1)
     n = sources.count()
     if not n:
         return rows.sparkSession.createDataFrame([], f"draw bigint, {source} string, {key} bigint")
-    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("_s"), F.xxhash64(F.lit(seed + 1), "id").alias("_h"))
-    wanted = d.join(sources, "_s").withColumn("rank", F.pmod("_h", F.col("size")) + 1)
+    number = lambda what: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(what), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint")
+    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (number("source") % n).cast("int").alias("_s"), number("row").alias("_h"))
+    wanted = d.join(sources, "_s").withColumn("rank", F.col("_h") % F.col("size") + 1)
     return wanted.join(numbered.select(source, key, "rank"), [source, "rank"]).select("draw", source, key)
 
 

@@ -11,11 +11,17 @@ from ..functions.timeline import aspect
 DESCRIBED = ["mean", "std", "min", "p25", "median", "p75", "p95", "max"]
 
 
-def describe(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """mean, sample standard deviation, least, quartiles, 95th percentile (interpolated), greatest; three digits.
+def quantile(v: Column | str, p, exact: bool = True, accuracy: int = 100_000) -> Column:
+    """The interpolated quantile of a group, for which one task holds the group's distinct values; or, not exact, a
+    value within 1/accuracy of the rank from mergeable sketches, for groups too large for that."""
+    return F.percentile(v, p) if exact else F.percentile_approx(v, p, accuracy)
+
+
+def describe(df: DataFrame, value: Column, by: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """mean, sample standard deviation, least, quartiles, 95th percentile (``quantile``), greatest; three digits.
     Null and NaN values are left out."""
     v = F.when(~F.isnan(value.cast("double")), value.cast("double"))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]))
+    q = quantile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]) if exact else [0.25, 0.5, 0.75, 0.95], exact)
     r = lambda c: F.round(c, 3)
     out = df.groupBy(*(by or [])).agg(r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
     return out.select(*(by or []), "mean", "std", r(F.col("min")).alias("min"), *[r(F.get("_q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "median", "p75", "p95"))], r(F.col("max")).alias("max"))
@@ -112,10 +118,10 @@ def summary(captions: DataFrame, videos: DataFrame) -> DataFrame:
     return c.join(F.broadcast(v), F.lit(True))  # one row each
 
 
-def latency_percentiles(log: DataFrame) -> DataFrame:
+def latency_percentiles(log: DataFrame, exact: bool = True) -> DataFrame:
     """(model, n, p50, p95) per model and, with a null model, over all; ``log`` is (model, latency_json).
     A missing total counts as 0."""
     t = F.coalesce(F.get_json_object("latency_json", "$.total").try_cast("double"), F.lit(0.0))
     d = log.select("model", t.alias("ms"))
-    agg = lambda g: g.agg(F.count("*").alias("n"), F.round(F.percentile("ms", 0.5), 1).alias("p50"), F.round(F.percentile("ms", 0.95), 1).alias("p95"))
+    agg = lambda g: g.agg(F.count("*").alias("n"), F.round(quantile("ms", 0.5, exact), 1).alias("p50"), F.round(quantile("ms", 0.95, exact), 1).alias("p95"))
     return agg(d.groupingSets([["model"], []], "model")).select("model", "n", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"))

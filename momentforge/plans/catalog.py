@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import timeline as L
 from ..functions import vector as V
 from ..operators import benchmarks, captions, evaluation, localize, search, splits, stats, text_metrics, vector_index
-from ..session import table
+from ..session import shared_dir, table
 from ..streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,17 +436,41 @@ def _answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p, v.select("video_id", "caption").distinct()
 
 
-@query("eval_bleu")
+_ANS_WORDS = r"list_filter(regexp_split_to_array(lower({c}), '[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '')"
+_GRAMS = " union all ".join(f"select {{keys}}, {n} as n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) as g from {{rel}}" for n in range(1, 5))
+_ANS = f"""v as (select * from val_outputs_all where caption is not null and model_output is not null and video_id is not null),
+    p as (select video_id, {_ANS_WORDS.format(c='arg_min(model_output, record_id)')} as w from v group by 1), r as (select video_id, caption, {_ANS_WORDS.format(c='caption')} as w from (select distinct video_id, caption from v)),
+    pc as (select video_id, n, g, count(*) as c from ({_GRAMS.format(keys='video_id', rel='p')}) group by all), rc as (select video_id, caption, n, g, count(*) as c from ({_GRAMS.format(keys='video_id, caption', rel='r')}) group by all)"""
+_BLEU_SCORE = ", ".join(f"round(case when hit1 = 0 then 0.0 else penalty * exp(({' + '.join(f'ln(p{n})' for n in range(1, k + 1))}) / {k}) end, 6) as bleu{k}" for k in range(1, 5))
+_BLEU = f"""with {_ANS}, near as (select p.video_id, len(p.w) as plen, min({{'d': abs(len(r.w) - len(p.w)), 'l': len(r.w)}}).l as rlen from p join r on p.video_id = r.video_id group by 1, 2),
+    most as (select video_id, n, g, max(c) as m from rc group by all), per as (select pc.video_id, pc.n, sum(least(pc.c, coalesce(m, 0))) as hit, sum(pc.c) as total from pc left join most on pc.video_id = most.video_id and pc.n = most.n and pc.g = most.g group by all),
+    o as (select near.video_id, plen, rlen, {', '.join(f"coalesce(max(case when n = {n} then (case when hit > 0 then hit else 0.1 end)::double / total end), 0.1) as p{n}" for n in range(1, 5))}, coalesce(max(case when n = 1 then hit end), 0) as hit1 from near left join per on near.video_id = per.video_id group by 1, 2, 3),
+    q as (select *, case when plen > rlen then 1.0 else exp(1 - rlen::double / greatest(plen, 1)) end as penalty from o) select video_id, {_BLEU_SCORE} from q"""
+
+
+def _cider_sql(corpus: bool) -> str:
+    df = "select n, g, count(*) as df from (select distinct video_id, n, g from rc) group by all" if corpus else "select video_id, n, g, count(*) as df from rc group by all"
+    on = "x.n = df.n and x.g = df.g" + ("" if corpus else " and x.video_id = df.video_id")
+    idf = "ln((select count(distinct video_id) from r)::double / (1 + coalesce(df, 0)))" if corpus else "ln((refs + 1.0::double) / (coalesce(df, 0) + 1))"
+    weigh = lambda rel, keys: f"select x.*, x.c::double / sum(x.c) over (partition by {keys}, x.n) * {idf} as w from {rel} x join size on x.video_id = size.video_id left join df on {on}"
+    scale = "exp(-pow((len(p.w) - len(r.w))::double, 2) / 72.0)" if corpus else "1.0::double"
+    return f"""with {_ANS}, size as (select video_id, count(*) as refs from r group by 1), df as ({df}), pv as ({weigh('pc', 'x.video_id')}), rv as ({weigh('rc', 'x.video_id, x.caption')}),
+    pn as (select video_id, n, sqrt(sum(w * w)) as pn from pv group by all), dots as (select rv.video_id, rv.caption, rv.n, sum(coalesce(rv.w * pv.w, 0.0)) as dot, sqrt(sum(rv.w * rv.w)) as rn from rv left join pv on rv.video_id = pv.video_id and rv.n = pv.n and rv.g = pv.g group by all),
+    per as (select dots.video_id, sum(coalesce(dot / nullif(rn * pn, 0), 0.0) * {scale}) as t from dots left join pn on dots.video_id = pn.video_id and dots.n = pn.n join p on dots.video_id = p.video_id join r on dots.video_id = r.video_id and dots.caption = r.caption group by 1)
+    select p.video_id, round(10.0::double * coalesce(t, 0.0) / (4.0 * refs), 6) as cider from p join size on p.video_id = size.video_id left join per on p.video_id = per.video_id"""
+
+
+@query("eval_bleu", _BLEU)
 def _(s, d):
     return text_metrics.bleu(*_answers(s, d))
 
 
-@query("eval_cider")
+@query("eval_cider", _cider_sql(True))
 def _(s, d):
     return text_metrics.cider(*_answers(s, d))
 
 
-@query("eval_cider_own_references")
+@query("eval_cider_own_references", _cider_sql(False))
 def _(s, d):
     return text_metrics.cider(*_answers(s, d), corpus_df=False)
 
@@ -677,7 +701,9 @@ def _(s, d):
     return splits.capped_per_source(caps(s, d), "source", "row_id", 100).select("source", "row_id")
 
 
-@query("split_equal_draws")
+@query("split_equal_draws", """with r as (select source, row_id, row_number() over (partition by source order by md5('42|' || row_id)) as rank, count(*) over (partition by source) as size from build_splits),
+    s as (select source, any_value(size) as size, row_number() over (order by source) - 1 as i from r group by 1), d as (select i as draw, ('0x' || substr(md5('42|source|' || i), 1, 12))::bigint % (select count(*) from s) as k, ('0x' || substr(md5('42|row|' || i), 1, 12))::bigint as h from (select unnest(range(1000)) as i))
+    select d.draw, s.source, r.row_id from d join s on d.k = s.i join r on r.source = s.source and r.rank = d.h % s.size + 1""")
 def _(s, d):
     return splits.equal_source_draws(caps(s, d), "source", "row_id", 1000)
 
@@ -837,8 +863,11 @@ def _(s, d):
 @query("stream_latency_quantiles", """with e as (select time_bucket(interval '5 minutes', ts) as window_start, event_type as model, value, row_number() over (partition by time_bucket(interval '5 minutes', ts), event_type order by value) as r, count(*) over (partition by time_bucket(interval '5 minutes', ts), event_type) as n from events where value is not null)
     select window_start, model, n, min(value) filter (r >= 0.5 * n) as p50, min(value) filter (r >= 0.95 * n) as p95 from e group by 1, 2, 3""")
 def _(s, d):
-    e = table(s, d, "events").where("value is not null").select("ts", F.col("event_type").alias("model"), F.col("value").alias("ms"))
-    return jobs.windowed_latency(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    e = _event_stream(s, d).where("value is not null").select("ts", F.col("event_type").alias("model"), F.col("value").alias("ms"))
+    out = shared_dir(s)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")
+    jobs.each_batch(jobs.windowed_latency(e), write, f"{out}/checkpoint", "complete")
+    return s.read.parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", """
@@ -849,10 +878,30 @@ def _(s, d):
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start_ts"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
 
 
-@query("stream_rate_limit")
+_LIMITED = """with recursive e as (select cast(user_id as varchar) as client, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts) as i from events),
+    w as (select client, i, t, [t] as recent, true as allowed from e where i = 1 union all select client, i, t, case when len(f) < 2 then list_append(f, t) else f end, len(f) < 2 from (select e.client, e.i, e.t, list_filter(w.recent, lambda r: e.t - r <= 3600.0) as f from w join e on e.client = w.client and e.i = w.i + 1))
+    select client, t, allowed from w"""
+
+
+@query("stream_rate_limit", _LIMITED)
+def _(s, d):
+    return jobs.rate_limited_batch(_hits(table(s, d, "events")), 2, 3600.0)
+
+
+def _hits(e: DataFrame) -> DataFrame:
+    return e.select(F.col("user_id").cast("string").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of one file."""
+    return s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("stream_rate_limit_stateful", _LIMITED)
 def _(s, d):
-    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return jobs.rate_limited_batch(e, 2, 3600.0)
+    out = shared_dir(s)
+    jobs.run_available(jobs.rate_limited(_hits(_event_stream(s, d)), 2, 3600.0), f"{out}/rows", f"{out}/checkpoint")
+    return s.read.schema("client string, t double, allowed boolean").parquet(f"{out}/rows")
 
 
 # -- joins over the star schema -----------------------------------------------------------------

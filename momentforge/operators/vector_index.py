@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,67 +96,94 @@ def with_default_collections(collections: DataFrame) -> DataFrame:
 
 
 class VectorIndex:
-    """Versions of (id, vector, video_id, start_sec, end_sec) below ``path``. Pointers are numbered empty files
-    ``<n>.<version>`` and claims ``<n>``; a writer claims the number after the one it has read, which only one can create, and begins
-    again from the newer version if another was faster, so no update is lost. Older versions stay for their readers."""
+    """Rows (id, vector, video_id, start_sec, end_sec) below ``path`` as immutable segments, newest last.
 
-    SCHEMA = "id string, vector array<float>, video_id string, start_sec double, end_sec double"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointers(self) -> tuple[object, object]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/current")
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> tuple[int, str | None]:
-        """(number, version) of the newest pointer; (0, None) before the first."""
-        folder, fs = self._pointers()
-        if not fs.exists(folder):
-            return 0, None
-        names = [s.getPath().getName().partition(".") for s in fs.listStatus(folder)]
-        return max(((int(n), version) for n, _, version in names if version), default=(0, None))
-
-    def _version(self) -> str | None:
-        return self._current()[1]
+    An upsert or a delete writes a segment of its own rows or ids only; the newest row of an id counts, which older
+    segments learn from anti joins with the ids of the newer ones. More than ``most_segments`` are merged into one.
+    Manifests are numbered files that list the segments; a writer claims the number after the one it has read, which only one
+    can create, and adds its segment to the newer manifest if another was faster, so no update is lost. What older manifests
+    list stays for their readers.
+    """
 
-    def _claim(self, number: int) -> bool:
-        """Whether this writer is the one that may make pointer ``number``."""
-        folder, fs = self._pointers()
-        fs.mkdirs(folder)
-        return bool(fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(number))))
+    SCHEMA = "id string, vector array<float>, video_id string, start_sec double, end_sec double"
 
-    def _point(self, number: int, version: str) -> None:
-        folder, fs = self._pointers()
-        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number}.{version}"), False).close()
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", schema: str | None = None, most_segments: int = 8):
+        self.spark, self.path, self.key, self.most_segments = spark, path.rstrip("/"), key, most_segments
+        self.schema = schema or self.SCHEMA
+
+    def _file(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{name}".rstrip("/"))
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> tuple[int, list[str]]:
+        """(number, segments) of the newest manifest; (0, []) before the first."""
+        folder, fs = self._file("")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        number = max((int(n.removesuffix(".segments")) for n in names if n.endswith(".segments")), default=0)
+        if not number:
+            return 0, []
+        lines = self.spark.read.text(f"{self.path}/manifest/{number}.segments").collect()  # a line
+        return number, json.loads(lines[0][0])
+
+    def _publish(self, number: int, segments: list[str]) -> bool:
+        """Whether this writer was the one to make manifest ``number``."""
+        claim, fs = self._file(str(number))
+        fs.mkdirs(claim.getParent())
+        if not fs.createNewFile(claim):
+            return False
+        out = fs.create(self._file(f"{number}.segments")[0], False)
+        out.write(json.dumps(segments).encode())
+        out.close()
+        return True
+
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, _gone boolean").parquet(f"{self.path}/{name}")
+
+    def _live(self, segments: list[str]) -> DataFrame:
+        out, newer = self.spark.createDataFrame([], f"{self.schema}, _gone boolean"), None
+        for name in reversed(segments):
+            rows = self._segment(name)
+            out = out.unionByName(rows if newer is None else rows.join(newer, self.key, "left_anti"))
+            newer = rows.select(self.key) if newer is None else newer.union(rows.select(self.key))
+        return out.where("not _gone").drop("_gone")
 
     def rows(self) -> DataFrame:
-        return self._rows_of(self._version())
+        return self._live(self._current()[1])
 
-    def _rows_of(self, version: str | None) -> DataFrame:
-        if version is None:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{version}")
+    def _write(self, rows: DataFrame) -> str:
+        name = "v" + uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
 
-    def _write(self, change: Callable[[DataFrame], DataFrame], attempts: int = 20) -> None:
-        """Writes the current rows after ``change`` as the next version; again from the newer one if another writer was first."""
+    def _append(self, rows: DataFrame, attempts: int = 50) -> None:
+        name = self._write(rows)
         for _ in range(attempts):
-            number, version = self._current()
-            name = "v" + uuid.uuid4().hex
-            change(self._rows_of(version)).write.parquet(f"{self.path}/{name}")
-            if self._claim(number + 1):
-                self._point(number + 1, name)
+            number, segments = self._current()
+            if self._publish(number + 1, [*segments, name]):
+                if len(segments) + 1 > self.most_segments:
+                    self.compact()
                 return
-            folder, fs = self._pointers()
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
             time.sleep(0.1)
-        raise RuntimeError("other writers were faster each time, or one ended between its claim and its pointer")
+        raise RuntimeError("other writers were faster each time, or one ended between its claim and its manifest")
+
+    def compact(self) -> bool:
+        """One segment instead of many; False if another writer was faster, which leaves all as it was."""
+        number, segments = self._current()
+        return self._publish(number + 1, [self._write(self._live(segments).withColumn("_gone", F.lit(False)))])
 
     def upsert(self, new: DataFrame, order: str | None = None) -> None:
-        self._write(lambda old: upserted(old, new, "id", order))
+        none = self.spark.createDataFrame([], self.schema)
+        self._append(upserted(none, new, self.key, order).withColumn("_gone", F.lit(False)))
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(lambda old: deleted(old, ids))
+        fields = self.spark.createDataFrame([], self.schema).schema
+        gone = ids.select(self.key).distinct()
+        self._append(gone.select(*[F.col(f.name) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in fields], F.lit(True).alias("_gone")))
+
+    def clear(self) -> None:
+        """No rows any more."""
+        while not self._publish(self._current()[0] + 1, []):
+            time.sleep(0.1)
 
     def count(self) -> int:
         return self.rows().count()
@@ -174,29 +201,21 @@ class FeatureStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.models: dict[str, VectorIndex] = {}
 
     def _model(self, model_id: str) -> VectorIndex:
-        if model_id not in self.models:
-            m = VectorIndex(self.spark, f"{self.path}/{model_id}")
-            m.SCHEMA = self.SCHEMA
-            self.models[model_id] = m
-        return self.models[model_id]
+        return VectorIndex(self.spark, f"{self.path}/{model_id}", "window_id", self.SCHEMA)
 
     def put(self, model_id: str, rows: DataFrame) -> None:
-        m = self._model(model_id)
-        m._write(lambda old: upserted(old, rows, "window_id"))
+        self._model(model_id).upsert(rows)
 
     def get_many(self, model_id: str, ids: DataFrame) -> DataFrame:
         return self._model(model_id).rows().join(ids, "window_id", "left_semi")
 
     def delete(self, model_id: str, ids: DataFrame) -> None:
-        m = self._model(model_id)
-        m._write(lambda old: deleted(old, ids, "window_id"))
+        self._model(model_id).delete(ids)
 
     def drop_model(self, model_id: str) -> None:
-        m = self._model(model_id)
-        m._write(lambda old: self.spark.createDataFrame([], self.SCHEMA))
+        self._model(model_id).clear()
 
 
 def get_index(spark: SparkSession, root: str, model_id: str, collection_id: str, backend: str = "parquet") -> VectorIndex:

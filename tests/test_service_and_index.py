@@ -76,19 +76,32 @@ def test_the_last_of_repeated_ids_stays(spark, tmp_path):
 
 def test_no_update_of_two_writers_is_lost(spark, tmp_path):
     one, two = vector_index.VectorIndex(spark, str(tmp_path)), vector_index.VectorIndex(spark, str(tmp_path))
-    rows = lambda i: spark.createDataFrame([(i, [1.0], "v", 0.0, 1.0)], one.SCHEMA)
-    seen = []
+    rows = lambda i, x=1.0: spark.createDataFrame([(i, [x], "v", 0.0, 1.0)], one.SCHEMA)
+    current, seen = one._current, []
 
-    def slow(old):
+    def slow():
+        got = current()
         if not seen:
             seen.append(1)
             two.upsert(rows("b"))  # another writer ends between the read and the claim
-        return vector_index.upserted(old, rows("a"))
+        return got
 
-    one._write(slow)
+    one._current = slow
+    one.upsert(rows("a"))
     assert {r.id for r in one.rows().collect()} == {"a", "b"}
 
 
+def test_segments_are_merged_and_small(spark, tmp_path):
+    index = vector_index.VectorIndex(spark, str(tmp_path), most_segments=3)
+    row = lambda i, x: spark.createDataFrame([(i, [x], "v", 0.0, 1.0)], index.SCHEMA)
+    for k in range(7):
+        index.upsert(row(f"i{k % 4}", float(k)))
+        assert len(index._current()[1]) <= 3
+    index.delete(spark.createDataFrame([("i0",)], "id string"))
+    index.upsert(row("i1", 9.0))
+    assert {r.id: r.vector[0] for r in index.rows().collect()} == {"i1": 9.0, "i2": 6.0, "i3": 3.0}
+
+
 def test_paths_with_a_scheme(spark, tmp_path):
     f = tmp_path / "train.json"
     f.write_text('[{"video_id": "v", "caption": "a dog"}]')

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, word_list
+from ..session import cut
+
+#: At most so many queries go to every task at a time.
+BLOCK = 4096
 
 
 def _counts(rows: DataFrame, keys: list[str], text: str, most: int = 4) -> DataFrame:
@@ -71,8 +79,9 @@ def tfidf_matches(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank): best documents by cosine of smooth tf-idf vectors of words and word pairs.
 
     idf = ln((1 + n) / (1 + df)) + 1, fitted on documents and queries together. ``docs`` is (doc_id, text),
-    ``queries`` (query_id, text). Terms meet in an equi join; a term that occurs in most documents is
-    a skewed key, which the adaptive join splits.
+    ``queries`` (query_id, text), a stated set. Queries go to the tasks in blocks of at most BLOCK as posting lists; a batch
+    of documents meets them in one sparse product and leaves at most ``k`` rows a query, so a word that stands
+    in most documents makes no pair that leaves its task.
     """
     def terms(d: DataFrame, key: str) -> DataFrame:
         w = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
@@ -88,6 +97,56 @@ def tfidf_matches(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
         return w.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias(name))
 
-    s = unit(qt, "query_id", "a").join(unit(dt, "doc_id", "b"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"))
+    listed = lambda t, key: t.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    asked, held = cut(listed(unit(qt, "query_id", "w"), "query_id")), cut(listed(unit(dt, "doc_id", "w"), "doc_id"))
+    blocks = max(1, -(-asked.count() * 5 // (4 * BLOCK)))  # hashed blocks vary in size
+    out = None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # one block
+        part = _sparse_best(held, rows, k, queries.schema["query_id"].dataType.simpleString())
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _sparse_best(docs: DataFrame, block: list, k: int, kind: str) -> DataFrame:
+    """(query_id, doc_id, score): for every query of the block the ``k`` best documents of each batch."""
+    ids, name = [r["query_id"] for r in block], docs.schema["doc_id"].dataType.simpleString()
+    postings: dict[str, list[tuple[int, float]]] = {}
+    for i, r in enumerate(block):
+        for t, w in zip(r["terms"], r["ws"], strict=True):
+            postings.setdefault(t, []).append((i, w))
+    place = {t: i for i, t in enumerate(postings)}
+    lengths = np.array([len(x) for x in postings.values()], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    who = np.array([i for x in postings.values() for i, _ in x], np.int64)
+    weight = np.array([w for x in postings.values() for _, w in x], np.float64)
+    at_once = max(1, 4_000_000 // max(1, len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                batch = whole.slice(at, at_once)
+                terms = batch.column("terms")
+                of = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+                term = np.array([place.get(t, -1) for t in terms.flatten().to_pylist()], np.int64)
+                w = batch.column("ws").flatten().to_numpy(zero_copy_only=False)
+                of, term, w = of[term >= 0], term[term >= 0], w[term >= 0]
+                n = lengths[term] if len(term) else np.zeros(0, np.int64)
+                if not n.sum():
+                    continue
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[term], n)
+                cell = np.repeat(of, n) * len(ids) + who[entry]
+                score = np.round(np.bincount(cell, np.repeat(w, n) * weight[entry]), 6)
+                cell = np.unique(cell)
+                doc, query = cell // len(ids), cell % len(ids)
+                names = batch.column("doc_id")
+                by_name = np.argsort(np.argsort(np.array(names.to_pylist(), dtype=object if name == "string" else None), kind="stable"), kind="stable")
+                order = np.lexsort((by_name[doc], -score[cell], query))
+                first = np.flatnonzero(np.concatenate([[True], np.diff(query[order]) > 0]))
+                best = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(query[best]), names.take(pa.array(doc[best])), pa.array(score[cell[best]])], names=["_q", "doc_id", "score"])
+
+    found = docs.mapInArrow(run, f"_q bigint, doc_id {name}, score double")
+    asked = docs.sparkSession.createDataFrame(list(enumerate(ids)), f"_q bigint, query_id {kind}")
+    return found.join(F.broadcast(asked), "_q").select("query_id", "doc_id", "score")

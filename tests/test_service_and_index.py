@@ -151,3 +151,20 @@ def test_written_tables_can_be_removed(spark):
     path = cut(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0]
     assert path_exists(spark, path)
     assert clean_up(spark) >= 1 and not path_exists(spark, path)
+
+
+def test_tfidf_in_blocks(spark, monkeypatch):
+    from momentforge.operators import text_metrics as M
+
+    d = spark.createDataFrame([(i, f"the {a} {b}") for i, (a, b) in enumerate((a, b) for a in ("dog", "cat", "cow") for b in ("runs", "sits", "eats"))], "doc_id int, text string")
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["the dog", "cow eats", "nothing here", "", "the the cat sits"])], "query_id string, text string")
+    once = {tuple(r) for r in M.tfidf_matches(d, q, 3).collect()}
+    monkeypatch.setattr(M, "BLOCK", 1)
+    assert {tuple(r) for r in M.tfidf_matches(d, q, 3).collect()} == once and {r[0] for r in once} == {"q0", "q1", "q4"}
+    assert M.tfidf_matches(d, q.limit(0)).count() == 0 and M.tfidf_matches(d.limit(0), q).count() == 0
+
+
+def test_quantiles_from_sketches(spark):
+    d = spark.range(1, 1002).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("g"))
+    exact, near = (stats.describe(d, F.col("x"), ["g"], exact=e).first() for e in (True, False))
+    assert exact.median == near.median == 501 and abs(exact.p95 - near.p95) <= 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .clips import split_name
 
-HASHES_PER_BAND, BANDS = 7, 32
+HASHES_PER_BAND, BANDS = 5, 32
 #: A set's digest: the places of its tokens among 56 bits, and its size in the upper eight (255: that or more).
 _PLACES, _MANY = 56, 255
 
@@ -78,8 +78,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(train_set, eval_set) of the different sets with a Jaccard similarity of at least ``threshold``,
     the first of a train record, the second of an eval record.
 
-    Candidates share one of 32 bands of 7 minwise hashes: a pair at 0.75 is found with probability
-    0.99, at 0.8 with 0.9995, at 0.85 with 0.99999; unrelated captions of one template (0.3) with 0.007.
+    Candidates share one of 32 bands of 5 minwise hashes: a pair at 0.75 is found with probability
+    0.9998, at 0.8 with 0.999997; unrelated captions of one template (0.3) with 0.07.
     Only rows of the two sides meet; both sides of a bucket are kept whole. Pairs whose digests rule the
     similarity out never leave the join; the exact one of the others is computed from the full sets.
     """

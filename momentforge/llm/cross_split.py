@@ -95,31 +95,31 @@ def similar_sets(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
 def overlaps(rows: DataFrame, threshold: float = 0.75, least_words: int = 8) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
-    ``members`` is (row_id, set_id, train BOOLEAN, split, source) of the rows with a split and enough
-    words; rows with the same words share a set, named by a 64-bit hash whose full word list is
-    grouped on. ``links`` is (train_set, eval_set) of all sets that overlap across the splits: equal sets and
-    verified similar ones. Null captions and captions with too few words take no part.
+    ``members`` is (row_id, k1, k2, train BOOLEAN, split, source) of the rows with a split and enough
+    words; rows with the same words share the 128 bits k1, k2. ``links`` is (train_set, eval_set, t1, t2, e1, e2), the last
+    four the bits of both, of all sets that overlap across the splits: equal sets and verified similar ones. A set is named by
+    its smallest row_id, so that no two have one name. Null captions and captions with too few words take no part.
     """
     named = rows.select("row_id", "caption", split_name("split").alias("split"), "source").where("split is not null and caption is not null")
     named = named.withColumn("w", words("caption")).where(F.size("w") >= least_words)
-    named = named.select("row_id", "split", "source", (F.col("split") == "train").alias("train"), F.xxhash64("w").alias("set_id"), F.transform("w", lambda x: F.xxhash64(x)).alias("tokens"))
+    named = named.select("row_id", "split", "source", (F.col("split") == "train").alias("train"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("two"), "w").alias("k2"), F.transform("w", lambda x: F.xxhash64(x)).alias("tokens"))
     sets = cut(
-        named.groupBy("set_id", "tokens").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+        named.groupBy("k1", "k2", "tokens").agg(F.min("row_id").alias("set_id"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
     )
     same = sets.where("in_train and in_eval").select(F.col("set_id").alias("train_set"), F.col("set_id").alias("eval_set"))
-    links = cut(similar_sets(sets, threshold).union(same))
-    return named.select("row_id", "set_id", "train", "split", "source"), links
+    side = lambda name, k: sets.select(F.col("set_id").alias(name), F.col("k1").alias(k + "1"), F.col("k2").alias(k + "2"))
+    links = cut(similar_sets(sets, threshold).union(same).join(side("train_set", "t"), "train_set").join(side("eval_set", "e"), "eval_set"))
+    return named.select("row_id", "k1", "k2", "train", "split", "source"), links
 
 
 def overlapping_pairs(rows: DataFrame, threshold: float = 0.75, least_words: int = 8) -> DataFrame:
     """(row_id_a, row_id_b), smaller id first: one row in train, the other in val or test."""
     members, links = overlaps(rows, threshold, least_words)
-    touched = cut(
-        members.join(links.select(F.col("train_set").alias("set_id")).union(links.select(F.col("eval_set").alias("set_id"))).distinct(), "set_id", "left_semi")
-    )
-    a = touched.where("train").select(F.col("set_id").alias("train_set"), F.col("row_id").alias("t"))
-    b = touched.where("not train").select(F.col("set_id").alias("eval_set"), F.col("row_id").alias("e"))
-    return links.join(a, "train_set").join(b, "eval_set").select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b"))
+    touched = links.select(F.col("t1").alias("k1"), F.col("t2").alias("k2")).union(links.select("e1", "e2")).distinct()
+    held = cut(members.select("row_id", "train", "k1", "k2").join(touched, ["k1", "k2"], "left_semi"))
+    a = held.where("train").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("row_id").alias("t"))
+    b = held.where("not train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("row_id").alias("e"))
+    return links.join(a, ["t1", "t2"]).join(b, ["e1", "e2"]).select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b"))
 
 
 def overlap_report(rows: DataFrame, threshold: float = 0.75, least_words: int = 8) -> DataFrame:
@@ -128,9 +128,9 @@ def overlap_report(rows: DataFrame, threshold: float = 0.75, least_words: int =
     Train rows are counted per set before the join, so no pair of rows is made.
     """
     members, links = overlaps(rows, threshold, least_words)
-    per_set = members.where("train").groupBy("set_id").agg(F.count("*").alias("n"))
-    weight = links.join(per_set, F.col("train_set") == F.col("set_id")).groupBy("eval_set").agg(F.sum("n").alias("n"))
+    per_set = members.where("train").groupBy(F.col("k1").alias("t1"), F.col("k2").alias("t2")).agg(F.count("*").alias("n"))
+    weight = links.join(per_set, ["t1", "t2"]).groupBy(F.col("e1").alias("k1"), F.col("e2").alias("k2")).agg(F.sum("n").alias("n"))
     return (
-        members.where("not train").join(weight, F.col("set_id") == F.col("eval_set"))
+        members.where("not train").join(weight, ["k1", "k2"])
         .groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.count("*").alias("eval_rows"))
     )

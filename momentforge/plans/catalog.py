@@ -330,6 +330,14 @@ _SOUND = "len(frame_features) > 0 and len(list_filter(frame_features, lambda r:
 _UNIT = "list_transform({v}, lambda x: x::double / greatest(sqrt(list_sum(list_transform({v}, lambda y: y::double * y::double))), 1e-12))"
 
 
+@query("search_aligned_pairs", f"""with w as (select window_id, any_value(embedding) as e, any_value(frame_features) as f from base where {_SOUND} and window_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1)
+    select window_id, round(list_sum(list_transform(list_zip(e, f[1]), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(e, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(f[1], lambda x: x::double * x::double)))), 6) as similarity from w""")
+def _(s, d):
+    fine = V.sound(F.col("embedding")) & F.forall("frame_features", lambda r: V.sound(r))
+    w = table(s, d, "base").where(F.size("frame_features") > 0).where(fine).where("window_id is not null").select("window_id", "embedding", F.get("frame_features", F.lit(0)).alias("frame")).dropDuplicates(["window_id"])
+    return w.select("window_id", F.round(V.cosine(F.col("embedding"), F.col("frame")), 6).alias("similarity"))
+
+
 @query("search_pooled_frames", f"""with w as (select window_id, any_value(frame_features) as f from base where {_SOUND} group by 1), e as (select window_id, generate_subscripts(f, 1) as k, unnest(f) as r from w),
     n as (select window_id, k, r, {_UNIT.format(v='r')} as u from e), x as (select window_id, unnest(range(1, 65)) as i, u, r from n), m as (select window_id, i, avg(u[i]) as a, avg(r[i]::double) as b from x group by 1, 2)
     select window_id, round(max(case when i = 1 then a end) / sqrt(sum(a * a)), 6) as first_normed, round(max(case when i = 1 then b end) / sqrt(sum(b * b)), 6) as first_plain from m group by 1""")

@@ -159,15 +159,19 @@ def percent(share: Column | str, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f%%", F.round(_c(share) * 100, digits))
 
 
+# The sentences of an answer.
+CLOSEST, WEAKER, NOT_FOUND = ("The closest moment for “", "” is "), " There is also a weaker match at ", ("I couldn't find “", "” in this video.")
+
+
 def grounded_answer(query: Column, spans: Column) -> Column:
     """A sentence that names the best span and, if there is one, the next; spans are (start, end, score)."""
     top, second = F.get(spans, F.lit(0)), F.get(spans, F.lit(1))
     found = F.concat(
-        F.lit("The closest moment for “"), query, F.lit("” is "), span_text(top["start"], top["end"]),
+        F.lit(CLOSEST[0]), query, F.lit(CLOSEST[1]), span_text(top["start"], top["end"]),
         F.lit(" ("), F.round(top["score"] * 100).cast("int").cast("string"), F.lit("% match)."),
-        F.when(F.size(spans) > 1, F.concat(F.lit(" There is also a weaker match at "), span_text(second["start"], second["end"]), F.lit("."))).otherwise(""),
+        F.when(F.size(spans) > 1, F.concat(F.lit(WEAKER), span_text(second["start"], second["end"]), F.lit("."))).otherwise(""),
     )
-    return F.when(F.size(spans) > 0, found).otherwise(F.concat(F.lit("I couldn't find “"), query, F.lit("” in this video.")))
+    return F.when(F.size(spans) > 0, found).otherwise(F.concat(F.lit(NOT_FOUND[0]), query, F.lit(NOT_FOUND[1])))
 
 
 def media_url(video_id: Column, start: Column) -> Column:
@@ -179,9 +183,13 @@ def thumbnail_url(video_id: Column, at: Column) -> Column:
     return F.format_string("/videos/%s/thumbnail?t=%.1f", video_id, F.greatest(at.cast("double"), F.lit(0.0)))
 
 
+# The instruction for one caption.
+REWRITE = "You are given a video caption from the MSVD dataset.\nRewrite it as a clean, concise normalized video description.\n\nCaption: %s\n\nNormalized description:"
+
+
 def rewrite_prompt(caption: Column) -> Column:
     """The instruction given to a language model for one caption."""
-    return F.format_string("Rewrite the caption as one clear sentence.\nCaption: %s\nSentence:", caption)
+    return F.format_string(REWRITE, caption)
 
 
 def word_token_proxy(x: Column | str) -> Column:

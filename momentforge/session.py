@@ -57,12 +57,12 @@ def clean_up(spark: SparkSession) -> int:
 
 
 def _clean_at_end() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
             clean_up(spark)
-        except Exception:  # noqa: BLE001 - the session may have ended before
-            return
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        return
 
 
 atexit.register(_clean_at_end)

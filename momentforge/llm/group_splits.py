@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +12,45 @@ from ..session import cut
 from .clips import clip_key, clip_sources, split_name
 
 
+#: A task's forest is handed on when it has so many vertices, so that its memory has a bound.
+FOREST = 200_000
+
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """(a, b): fewer edges with the same components: in each task the edges of a component become a star around its least
+    vertex."""
+    def stars(parent: dict[str, str], find: Callable[[str], str]) -> pa.RecordBatch:
+        pairs = [(v, r) for v in parent if (r := find(v)) != v]
+        return pa.RecordBatch.from_arrays([pa.array([v for v, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.string())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[str, str] = {}
+
+        def find(v: str) -> str:
+            root = v
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[v] != root:
+                parent[v], v = root, parent[v]
+            return root
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) > FOREST:
+                yield stars(parent, find)
+                parent.clear()
+        yield stars(parent, find)
+
+    return edges.select("a", "b").mapInArrow(run, "a string, b string")
+
+
 def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFrame:
     """(vertex, label): connected components of the undirected edges (a, b) by random-mate contraction.
 
-    First vertices with one neighbour collapse into it (of two that only have each other the larger), which
+    First every task turns its share of the edges into stars, and vertices with one neighbour collapse into it (of two that only have each other the larger), which
     ends stars. Then in every round each vertex flips a coin (a hash of seed, round and id). A tail with a head neighbour
     collapses into its smallest such neighbour; a head whose only neighbour is a smaller head
     collapses too. No chain can arise, as what is collapsed into never
@@ -27,7 +65,7 @@ def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFr
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
     e = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a is not null and b is not null and a <> b")
-    e, steps = cut(both(e)), []
+    e, steps = cut(both(local_forest(e))), []
     for r in range(max_rounds):
         head = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(c)), F.lit(2)) == 1  # noqa: B023, E731
         if r == 0:

@@ -15,8 +15,9 @@ from ..session import cut
 TABLES, AXES, PROBES, SKETCH_BITS, SKETCH_APART = 8, 3, 4, 64, 21
 #: Neighbours of this cosine and more are promised by the tables; places left open are filled by WIDE of the signed axes of one more rotation.
 PROMISED, WIDE = 0.9, 28
-#: Buckets of more stored vectors are not paired but go through matrix products, in blocks of so many vectors.
-LARGE, BLOCK = 64, 8192
+#: Buckets of more stored vectors are not paired but go through matrix products, in blocks of so many vectors;
+#: the wide buckets are so many vectors to a group.
+LARGE, BLOCK, GROUP = 64, 8192, 32_768
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -164,9 +165,10 @@ def wide_keys(vectors: DataFrame, probes: int, seed: int = 41) -> DataFrame:
 
 
 def bucket_best(asked: DataFrame, stored: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(q, o, cosine): for every asked vector the ``k`` most similar stored ones of each of its buckets and blocks.
+    """(q, o, cosine): for every asked vector the ``k`` most similar stored ones of each pair of blocks it is in.
 
-    ``asked`` is (key, q, v), ``stored`` (key, o, v). Both sides of a bucket are cut into blocks of about ``block``
+    ``asked`` is (key, q, v), ``stored`` (key, o, v); with a column ``axes ARRAY<INT>`` of the one and ``axis INT`` of the other, only
+    rows meet whose axis is among the axes. Both sides of a bucket are cut into blocks of about ``block``
     vectors, counted beforehand, so that no task holds more than one block of each; two blocks meet in matrix
     products, of which ``k`` rows an asked vector leave the task.
     """
@@ -174,8 +176,9 @@ def bucket_best(asked: DataFrame, stored: DataFrame, k: int, block: int = BLOCK)
     sizes = cut(blocks(asked, "na").join(blocks(stored, "ns"), "key"))
     of = lambda c, n: F.pmod(F.xxhash64(F.lit(8), c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    left = asked.join(sizes, "key").select("key", of("q", "na").alias("a_block"), every("ns").alias("s_block"), "q", "v")
-    right = stored.join(sizes, "key").select("key", every("na").alias("a_block"), of("o", "ns").alias("s_block"), "o", "v")
+    some = "axis" in stored.columns
+    left = asked.join(sizes, "key").select("key", of("q", "na").alias("a_block"), every("ns").alias("s_block"), "q", "v", *["axes"] * some)
+    right = stored.join(sizes, "key").select("key", every("na").alias("a_block"), of("o", "ns").alias("s_block"), "o", "v", *["axis"] * some)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"q": pa.array([], pa.int64()), "o": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
@@ -183,19 +186,36 @@ def bucket_best(asked: DataFrame, stored: DataFrame, k: int, block: int = BLOCK)
             return none
         rows = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
         x, y, q, o = rows(left), rows(right), left.column("q").to_numpy(), right.column("o").to_numpy()
-        nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-        ux, uy = (x / nx[:, None]).astype(np.float32), (y / ny[:, None]).astype(np.float32)
+        ux, uy = ((z / np.sqrt((z * z).sum(1))[:, None]).astype(np.float32) for z in (x, y))
         out: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, len(x), 512):
-            s = ux[at : at + 512] @ uy.T
-            s[q[at : at + 512, None] == o[None, :]] = -2
-            top = np.argpartition(-s, k - 1, 1)[:, :k] if len(y) > k else np.broadcast_to(np.arange(len(y)), s.shape)
-            i, j = np.nonzero(np.take_along_axis(s, top, 1) > -2)
-            r, c = i + at, top[i, j]
-            # as in near_pairs: rounded, so that vectors that differ by a factor only tie
-            out.append((q[r], o[c], np.round((x[r] * y[c]).sum(1) / np.sqrt((x[r] * x[r]).sum(1) * (y[c] * y[c]).sum(1)), 12)))
+
+        def meet(mine: np.ndarray, theirs: np.ndarray) -> None:
+            other, ids = uy[theirs], o[theirs]
+            for at in range(0, len(mine), 512):
+                part = mine[at : at + 512]
+                s = ux[part] @ other.T
+                s[q[part][:, None] == ids[None, :]] = -2
+                top = np.argpartition(-s, k - 1, 1)[:, :k] if len(theirs) > k else np.broadcast_to(np.arange(len(theirs)), s.shape)
+                i, j = np.nonzero(np.take_along_axis(s, top, 1) > -2)
+                r, c = part[i], theirs[top[i, j]]
+                # as in near_pairs: rounded, so that vectors that differ by a factor only tie
+                out.append((q[r], o[c], np.round((x[r] * y[c]).sum(1) / np.sqrt((x[r] * x[r]).sum(1) * (y[c] * y[c]).sum(1)), 12)))
+
+        if some:
+            lists = left.column("axes").combine_chunks()
+            of, axes = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
+            axis = right.column("axis").to_numpy()
+            for one in np.unique(axis):
+                meet(of[axes == one], np.flatnonzero(axis == one))
+        else:
+            meet(np.arange(len(x)), np.arange(len(y)))
+        if not out:
+            return none
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"q": a, "o": b, "cosine": c})
+        order = np.lexsort((-c, a))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(a[order]) != 0]))
+        best = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+        return pa.table({"q": a[best], "o": b[best], "cosine": c[best]})
 
     groups = ["key", "a_block", "s_block"]
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(run, "q bigint, o bigint, cosine double")
@@ -274,10 +294,14 @@ def far_pairs(vectors: DataFrame, directed: DataFrame, k: int, wide: int = WIDE)
     """
     sure = _best(vectors, directed.where(F.col("cosine") >= PROMISED), k).where(F.size("near") > k).select(F.col("q").alias("vec_id"))
     open_ = vectors.join(sure, "vec_id", "left_anti").select("vec_id", "vector")
-    homes = wide_keys(vectors, 1).select(F.col("vec_id").alias("o"), F.get("keys", F.lit(0)).alias("key"))
-    asked = wide_keys(open_, wide).select(F.col("vec_id").alias("q"), F.explode("keys").alias("key"))
-    with_vector = lambda d, c: d.join(vectors.select(F.col("vec_id").alias(c), F.col("vector").alias("v")), c)
-    return bucket_best(with_vector(asked, "q"), with_vector(homes, "o"), k)
+    # the buckets stand in groups, so that a vector is sent once to each group and not to each bucket
+    groups = max(1, -(-vectors.count() // GROUP))
+    vector = lambda c: vectors.select(F.col("vec_id").alias(c), F.col("vector").alias("v"))
+    homes = wide_keys(vectors, 1).select(F.col("vec_id").alias("o"), F.get("keys", F.lit(0)).cast("int").alias("axis"))
+    homes = homes.join(vector("o"), "o").withColumn("key", F.pmod("axis", F.lit(groups)).cast("bigint"))
+    asked = wide_keys(open_, wide).select(F.col("vec_id").alias("q"), F.explode("keys").alias("axis"))
+    asked = asked.groupBy("q", F.pmod("axis", F.lit(groups)).alias("key")).agg(F.collect_list(F.col("axis").cast("int")).alias("axes")).join(vector("q"), "q")
+    return bucket_best(asked, homes, k, GROUP)
 
 
 def nearest(windows: DataFrame, k: int = 5, wide: int = WIDE, **shape: int) -> DataFrame:

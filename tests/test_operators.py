@@ -316,3 +316,53 @@ def test_bleu_against_plain_python(spark):
     for row in M.bleu(p, r).collect():
         pred, refs = data[row.video_id][0].split(), [x.split() for x in data[row.video_id][1]]
         assert [row.bleu1, row.bleu2, row.bleu3, row.bleu4] == pytest.approx([plain(pred, refs, n) for n in range(1, 5)], abs=1e-5)
+
+
+def test_tfidf_in_many_blocks_like_plain_python(spark, monkeypatch):
+    import collections
+    import math
+    import random
+    import re
+
+    rng, words = random.Random(3), ["dog", "cat", "cow", "runs", "sits", "eats", "the", "on", "a", "grass_1"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    d = [(f"d{i:03}", text(rng.randrange(8))) for i in range(150)] + [("d001", "the dog"), ("d002", None), (None, "The cow, the COW"), (None, "eats")] + [(f"e{i}", "the cow eats") for i in range(9)]
+    q = [(i, text(rng.randrange(5))) for i in range(40)] + [(3, "cow eats"), (None, "the dog sits"), (50, ""), (51, "zebra"), (52, "the cow eats")]
+
+    def terms(rows):
+        out = collections.defaultdict(collections.Counter)
+        for key, t in rows:
+            w = re.findall(r"\w{2,}", (t or "").lower())
+            out[key].update(w + [f"{x} {y}" for x, y in zip(w, w[1:])])
+        return out
+
+    dt, qt = terms(d), terms(q)
+    df = collections.Counter(t for v in (*dt.values(), *qt.values()) for t in v)
+    unit = lambda v: {t: n * (math.log((1 + len(d) + len(q)) / (1 + df[t])) + 1) / math.sqrt(sum((m * (math.log((1 + len(d) + len(q)) / (1 + df[u])) + 1)) ** 2 for u, m in v.items())) for t, n in v.items()}
+    du, qu, want = {k: unit(v) for k, v in dt.items()}, {k: unit(v) for k, v in qt.items()}, set()
+    for i, v in qu.items():
+        best = sorted(((-round(sum(v[t] * x[t] for t in v if t in x), 6), j is None, j or "") for j, x in du.items() if v.keys() & x.keys()))[:4]
+        want |= {(i, None if none else j, -s, r) for r, (s, none, j) in enumerate(best, 1)}
+
+    docs, asked = spark.createDataFrame(d, "doc_id string, text string"), spark.createDataFrame(q, "query_id int, text string")
+    assert {tuple(r) for r in M.tfidf_matches(docs, asked, 4).collect()} == want
+    for name, most in (("BLOCK", 3), ("DOCS", 20), ("WORDS", 60), ("GROUP", 10), ("POSTINGS", 50)):
+        monkeypatch.setattr(M, name, most)
+    assert {tuple(r) for r in M.tfidf_matches(docs, asked, 4).collect()} == want
+
+
+def test_tfidf_keeps_rows_out_of_the_driver(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"word{i} dog") for i in range(50)], "doc_id int, text string")
+    collected, collect = [], type(d).collect
+
+    def counted(self):
+        rows = collect(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(d), "collect", counted)
+    monkeypatch.setattr(M, "BLOCK", 10)
+    out = M.tfidf_matches(d, d.withColumnRenamed("doc_id", "query_id"), 1)
+    assert sum(collected) <= 3  # counts only
+    monkeypatch.undo()
+    assert {(r.query_id, r.doc_id) for r in out.collect()} == {(i, i) for i in range(50)}
